@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import zipfile
 
@@ -74,4 +73,3 @@ def ship(spark: SparkSession) -> None:
                     z.write(p, os.path.join("folio", os.path.relpath(p, here)))
     sc.addPyFile(out)
     sc._folio_shipped = True
-    shutil.rmtree(os.path.dirname(out), ignore_errors=True)
