@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import boilerplate
+from folio.llm import boilerplate, sentences
 from folio.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the reflowable sections."""
+    return sentences.sentences(table(spark, d, "sections"), table(spark, d, "toc_entries"))
+
+
+def p2_all(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of every section."""
+    return sentences.sentences(table(spark, d, "sections"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines repeated across a book's sections."""
     return boilerplate.repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries")).select("section_id", "line_no").distinct()
@@ -18,7 +28,7 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_cleaned": p5_cleaned}
+QUERIES = {"p2_found": p2_found, "p2_all": p2_all, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),
