@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, sentences
+from folio.llm import boilerplate, scans, sentences
 from folio.session import table
 
 
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "sections"), table(spark, d, "toc_entries"), table(spark, d, "books"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noise on the lines of scanned sections."""
+    return _repaired(spark, d).select("section_id", F.explode("found").alias("x")).select("section_id", "x.line_no", "x.noise")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned sections as continuous paragraphs."""
+    return _repaired(spark, d).select("section_id", "text")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of the reflowable sections."""
     return sentences.sentences(table(spark, d, "sections"), table(spark, d, "toc_entries"))
@@ -28,7 +42,7 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_all": p2_all, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),
