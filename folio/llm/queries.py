@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, scans, sentences
+from folio.llm import boilerplate, scans, sentences, splitting
 from folio.session import table
 
 
@@ -32,6 +32,16 @@ def p2_all(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "sections"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Reflowable sections too long for one piece, with the unit they divide at."""
+    return splitting.oversized(table(spark, d, "sections"), table(spark, d, "toc_entries"))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every section."""
+    return splitting.split(table(spark, d, "sections"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines repeated across a book's sections."""
     return boilerplate.repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries")).select("section_id", "line_no").distinct()
@@ -42,7 +52,7 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),

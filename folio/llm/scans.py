@@ -129,13 +129,19 @@ def fit_source(sections: DataFrame) -> Source:
     """The n-gram model of all texts; what reaches the driver is bounded by the sizes of the tables."""
     ship(sections.sparkSession)
     n = texts(sections).select("raw_text").mapInArrow(count_words, "t byte, b int, n long").groupBy("t", "b").agg(F.sum("n").alias("n"))
-    pdf = n.select("t", "b", F.when(F.col("t") == 3, F.col("n").cast("double")).otherwise(F.least(F.lit(255.0), F.round(F.log1p("n") * STEP))).alias("q")).toPandas()
-    words, pairs = np.zeros((2, 1 << WORD_BITS), np.uint8), np.zeros(1 << PAIR_BITS, np.uint8)
-    t, b, q = pdf["t"].to_numpy(), pdf["b"].to_numpy(), pdf["q"].to_numpy()
-    for k in (0, 1):
-        words[k, b[t == k]] = q[t == k]
-    pairs[b[t == 2]] = q[t == 2]
-    return Source(words, pairs, int(q[t == 3].sum()))
+    total = F.sum(F.when(F.col("t") == 3, F.col("n")))
+    q = F.least(F.lit(255.0), F.round(F.log1p("n") * STEP)).cast("short")
+    # chunks of 4096 buckets, so that the tables come as a few arrays and not as millions of rows
+    rows = n.groupBy("t", F.shiftright("b", 12).alias("chunk")).agg(F.collect_list(F.struct(F.col("b").bitwiseAND(4095).cast("short").alias("o"), q.alias("q"))).alias("x"), total.alias("total")).toArrow()
+    words, pairs, count = np.zeros((2, 1 << WORD_BITS), np.uint8), np.zeros(1 << PAIR_BITS, np.uint8), 0
+    for t, chunk, x, n_words in zip(*(rows.column(k) for k in range(4))):
+        if t.as_py() == 3:
+            count += n_words.as_py()
+            continue
+        to = pairs if t.as_py() == 2 else words[t.as_py()]
+        own = x.values
+        to[(chunk.as_py() << 12) + own.field("o").to_numpy()] = own.field("q").to_numpy()
+    return Source(words, pairs, count)
 
 
 class Channel:
