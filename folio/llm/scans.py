@@ -140,7 +140,7 @@ def fit_source(sections: DataFrame) -> Source:
             continue
         to = pairs if t.as_py() == 2 else words[t.as_py()]
         own = x.values
-        to[(chunk.as_py() << 12) + own.field("o").to_numpy()] = own.field("q").to_numpy()
+        to[(chunk.as_py() << 12) + own.field("o").to_numpy().astype(np.int64)] = own.field("q").to_numpy()
     return Source(words, pairs, count)
 
 
