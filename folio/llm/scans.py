@@ -287,6 +287,8 @@ def _is_number(s: str) -> bool:
     return set(x) <= set("lOoI|!S") and ("." not in s and "!" not in s[m.end(1) :]) and (worded or len(x) <= 3)
 
 
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ@]")
+_MORE = re.compile(r"\s[·|•–—/]\s|\S\s{3,}\S|^\W*[0-9lOI]{1,4}\W|\W[0-9lOI]{1,4}\W*$")
 _PARTS = re.compile(r"\s+[·|•–—/]\s+|\s{3,}")
 
 
@@ -309,14 +311,18 @@ class Page:
         for i in at:
             if _is_number(self.lines[i].strip()):
                 self.kind[i] = "page_number"
-        titles = []
-        longest = max(map(len, keys), default=0)
-        for i in at:
+        # what is worth a closer look: as long as a title and with half its capitals, or with something beside a title
+        shapes = [(0.8 * len(x) - 3, 1.2 * len(x) + 3, 0.5 * len(_CAPITAL.findall(x))) for x in map(str.strip, own + books) if x]
+        for i in at if keys else ():
             s = self.lines[i].strip()
-            if self.kind[i] == "text" and longest and len(s) <= 2 * longest + 40:
-                k = _key(s)
-                if any(_same(k, x) for x in keys) or self._with_more(s, keys):
-                    titles.append(i)
+            if self.kind[i] == "text":
+                n, capitals = len(s), len(_CAPITAL.findall(s))
+                if any(lo <= n <= hi and capitals >= c for lo, hi, c in shapes):
+                    k = _key(s)
+                    if any(_same(k, x) for x in keys):
+                        self.kind[i] = "header"
+                        continue
+                if _MORE.search(s) and any(lo <= n <= hi + 60 and capitals >= c for lo, hi, c in shapes) and self._with_more(s, keys):
                     self.kind[i] = "header"
         # the section's own title, once at its start
         first = [i for i in at[:4] if self.kind[i] == "header" and any(_same(_key(self.lines[i]), x) for x in own_keys)]
@@ -359,6 +365,27 @@ class Repair:
     def __init__(self, channel: Channel):
         self.channel, self.count = channel, channel.source.count
         self.least = channel.source.least
+        self._plain: dict[str, bool] = {}
+
+    def _word(self, w: str) -> str:
+        """The part of a word as shown that is looked up."""
+        w = w.lower()
+        if not _INWARD.search(w) or len(w) < 2:
+            return ""
+        if w.endswith("!"):
+            # an end mark that is a misread letter
+            bare = w.rstrip("!")
+            return bare if len(self.channel.candidates(bare)) == 1 and self._known(bare) or len(self.channel.candidates(w)) == 1 else w
+        # elided words are judged by the part behind the apostrophe
+        return re.split("['’]", w)[-1] if "'" in w or "’" in w else w
+
+    def _is_plain(self, tok: str) -> bool:
+        """Whether nothing but the word itself can stand behind what is shown."""
+        if len(self._plain) > 500_000:
+            self._plain.clear()
+        w = self._word(tok.strip(_EDGE))
+        got = self._plain[tok] = not w or len(self.channel.candidates(w)) == 1
+        return got
 
     def _known(self, w: str) -> bool:
         return self.count(w) >= self.least
@@ -388,21 +415,21 @@ class Repair:
         # words of the running text: (line, what stands before, the word as shown, what stands behind)
         rows: list[list] = []
         for i in page.text:
-            rows.append([i, [(m.start(), m.group()) for m in re.finditer(r"\S+", page.lines[i])]])
+            rows.append((i, page.lines[i].split()))
         joins: dict[int, tuple[str, str, str]] = {}  # by row: what stands before and behind the line end, and what joins them
         for n in range(len(rows) - 1):
             i, toks = rows[n]
             j, after = rows[n + 1]
             if not toks or not after:
                 continue
-            last = toks[-1][1]
+            last = toks[-1]
             if last[-1] not in BREAKS or len(last) < 2 or not last[-2].isalpha() and last[-2] not in "01569@+!|·/":
                 continue
             between = page.kind[i + 1 : j]
             if between and set(between) == {"blank"}:
                 continue
             left = re.search(r"[^\W_]?[\w@+!|·\\/-]*$", last[:-1]).group().strip("-")
-            right = re.match(r"[\w@+!|·\\/-]*", after[0][1]).group()
+            right = re.match(r"[\w@+!|·\\/-]*", after[0]).group()
             # only marks that stand for letters inside a word belong to it
             right = re.match(r"\w(?:[@+!|·\\/-]*\w)*", right or " ")
             right = right.group() if right else ""
@@ -413,10 +440,13 @@ class Repair:
                     found.append((i + 1, "hyphen"))
         out: list[tuple[int, str]] = []
         chars: set[int] = set()
-        carry = ""
+        plain = self._plain
         for n, (i, toks) in enumerate(rows):
+            if n not in joins and n - 1 not in joins and all(plain.get(t) or self._is_plain(t) for t in toks):
+                out.append((i, " ".join(toks)))
+                continue
             shown = []
-            for m, (_, tok) in enumerate(toks):
+            for m, tok in enumerate(toks):
                 head, cut_at = "", 0
                 if m == 0 and n - 1 in joins:
                     head = joins[n - 1][0] + joins[n - 1][2]
@@ -428,18 +458,7 @@ class Repair:
                     shown.append((tok, core, head + core, len(head), 1))
                 else:
                     shown.append((tok, core, core, -1, 0))
-            line = []
-            for tok, core, whole, at, _ in shown:
-                w = whole.lower()
-                line.append(w if _INWARD.search(w) and len(w) > 1 else "")
-            for k, w in enumerate(line):
-                # an end mark that is a misread letter
-                if w.endswith("!"):
-                    bare = w.rstrip("!")
-                    line[k] = bare if len(self.channel.candidates(bare)) == 1 and self._known(bare) or len(self.channel.candidates(w)) == 1 else w
-                elif w and "'" in w or "’" in w:
-                    # elided words are judged by the part behind the apostrophe
-                    line[k] = re.split("['’]", w)[-1]
+            line = [self._word(whole) for _, _, whole, _, _ in shown]
             best = self.channel.decode(line)
             fixed = []
             for (tok, core, whole, at, second), w, (got, used) in zip(shown, line, best):
