@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, scans, sentences, splitting
+from folio.llm import boilerplate, scans, sentences, spam, splitting
 from folio.session import table
 
 
@@ -52,7 +52,12 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of spam."""
+    return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p8_found": p8_found}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),
