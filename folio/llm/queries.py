@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, scans, sentences, spam, splitting
+from folio.llm import boilerplate, neardup, scans, sentences, spam, splitting
 from folio.session import table
 
 
@@ -42,6 +42,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "sections"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of edited copies among section texts and among titles."""
+    out = None
+    for field, name, col, how in (("text", "sections", "raw_text", neardup.TEXT), ("title", "toc_entries", "title", neardup.TITLE)):
+        got = neardup.expand(*neardup.similar(table(spark, d, name), "id", col, **how)).select(F.lit(field).alias("field"), "id_a", "id_b")
+        out = got if out is None else out.union(got)
+    return out
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of copies of each section, and the links of its text."""
+    return neardup.groups(*neardup.similar(table(spark, d, "sections"), "id", "raw_text", **neardup.TEXT))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines repeated across a book's sections."""
     return boilerplate.repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries")).select("section_id", "line_no").distinct()
@@ -57,7 +71,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p8_found": p8_found}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),

@@ -63,7 +63,10 @@ def _stuffed(toks: list[str]) -> bool:
     n = len(toks)
     if n < 10:
         return False
-    again = 2 - len(set(toks)) / n - len(set(zip(toks, toks[1:]))) / (n - 1)
+    words = 1 - len(set(toks)) / n
+    if words < 0.3:  # pairs come again more rarely than words, and no limit is that low
+        return False
+    again = words + 1 - len(set(zip(toks, toks[1:]))) / (n - 1)
     points = ((10, 0.8), (25, 0.66), (50, 0.78), (100, 0.88), (200, 1.02), (400, 1.25), (1000, 1.55), (4000, 1.75), (100000, 1.98))
     for (x, lo), (y, hi) in zip(points, points[1:]):
         if n <= y:
