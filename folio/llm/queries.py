@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, neardup, scans, sentences, spam, splitting
+from folio.llm import boilerplate, mixing, neardup, packing, scans, sentences, sizes, spam, splitting
 from folio.session import table
 
 
@@ -66,12 +66,40 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(sizes.token_counts(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+
+
+def p6_packs(spark: SparkSession, d: str) -> DataFrame:
+    """The bin of each document in each pack."""
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How well the bins of each pack are filled."""
+    return packing.report(_packed(spark, d), table(spark, d, "pack_sizes"))
+
+
+def _mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(sizes.token_counts(table(spark, d, "documents"), None, "source"), table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: shard, position and copy of each document."""
+    return _mixture(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source contributes to the mixture."""
+    return mixing.shares(_mixture(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages of spam."""
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),

@@ -49,8 +49,11 @@ _THAI = re.compile(r"[฀-๿]")
 
 def tokens(line: str) -> list[str]:
     """Words of a line, lower-cased; pairs of characters in scripts that set no spaces."""
+    found = _TOKEN.findall(line.lower())
+    if not _WIDE.search(line):
+        return found
     out: list[str] = []
-    for t in _TOKEN.findall(line.lower()):
+    for t in found:
         if _WIDE.match(t) and len(t) > 2:
             out += [t[k : k + 2] for k in range(len(t) - 1)]
         else:
@@ -156,7 +159,9 @@ def page(text: str) -> tuple[Counter, float]:
     toks = [tokens(x) for x in lines]
     total = sum(map(len, raw))
     bad = sum(len(x) for x, k in zip(raw, line_kinds(lines, toks)) if k != "plain")
-    words = Counter(t for x in toks for t in x)
+    words: Counter = Counter()
+    for x in toks:
+        words.update(x)
     numbers = [t for t in words if t.isdigit()]
     if words:
         # marks, line ends and numbers stand on the curve too: lists are made of them
