@@ -50,7 +50,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 64, seed: int = 11, total: float | None = None) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8, seed: int = 11, total: float | None = None) -> DataFrame:
     """(shard, position, doc_id, copy, source, tokens): one mixture that meets the target shares.
 
     ``sizes`` has (doc_id, source, tokens), ``targets`` (source, target_share, max_repeats). Names of sources are folded
