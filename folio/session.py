@@ -69,7 +69,7 @@ def stored(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Let executors import this package although it is not installed there."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_folio_shipped", False):
+    if getattr(sc, "_folio_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     out = os.path.join(tempfile.mkdtemp(prefix="folio-ship-"), "folio.zip")
