@@ -13,6 +13,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folio.session import ship
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset(("nav", "script", "style"))
 CONTAINERS = frozenset(("section", "article", "div", "main", "aside", "body"))
@@ -262,6 +264,7 @@ def extract_texts(stops: DataFrame, files: DataFrame) -> DataFrame:
     ``files`` has (book_id, path, html). Rows of a file travel to it as one array, so a file is parsed once. Null html
     counts as empty.
     """
+    ship(files.sparkSession)
     want = stops.groupBy("book_id", file_path(F.col("file")).alias("path")).agg(F.collect_list(F.struct("id", "anchor", "stop_anchor")).alias("rows"))
     j = files.select("book_id", file_path(F.col("path")).alias("path"), F.coalesce("html", F.lit("")).alias("html")).join(want, ["book_id", "path"]).select("book_id", "html", "rows")
 
@@ -283,6 +286,7 @@ def extract_texts(stops: DataFrame, files: DataFrame) -> DataFrame:
 def markdown(files: DataFrame) -> DataFrame:
     """(book_id, path, markdown) of whole files (book_id, path, html)."""
 
+    ship(files.sparkSession)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             yield pd.DataFrame({"book_id": pdf["book_id"], "path": pdf["path"], "markdown": [to_markdown(chapter_level(parse(h or ""))) for h in pdf["html"]]})

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folio.session import ship
+
 
 def squared_distance(v: Column, query: list[float] | Column) -> Column:
     """The squared Euclidean distance of two vectors, in double precision."""
@@ -39,6 +41,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     """
     q = queries.where(F.col(col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, col)
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.where(F.col(col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, col)
     kind = vectors.schema[id_col].dataType.simpleString()
     out = spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double")
@@ -85,6 +88,7 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]],
 
     A provider that returns another number of vectors than texts is an error. Null texts have null vectors.
     """
+    ship(chunks.sparkSession)
     schema = chunks.schema.add("vector", "array<float>") if "vector" not in chunks.columns else chunks.schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

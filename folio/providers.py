@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from folio.session import ship
+
 Completion = Callable[[str, str], str]
 
 
@@ -32,6 +34,7 @@ def complete(prompts: DataFrame, call: Completion, at_once: int | None = None) -
 
     ``at_once`` bounds the number of tasks that call. Calls cost: store the result before it is read more than once.
     """
+    ship(prompts.sparkSession)
     p = prompts.repartition(at_once) if at_once else prompts
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + ", content string, error string"
 

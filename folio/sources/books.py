@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folio.session import ship
+
 MEDIA = {"epub": "application/epub+zip", "pdf": "application/pdf"}
 
 
@@ -101,6 +103,7 @@ def epub_books(files: DataFrame) -> DataFrame:
     ``contents`` is an array of (toc_order, level, title, href), ``documents`` one of (path, html). A file that can't be
     read has an error and null in the other columns.
     """
+    ship(files.sparkSession)
     schema = "path string, title string, author string, contents array<struct<toc_order:int,level:int,title:string,href:string>>, documents array<struct<path:string,html:string>>, error string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
