@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from folio.session import ship
 
@@ -89,7 +90,7 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]],
     A provider that returns another number of vectors than texts is an error. Null texts have null vectors.
     """
     ship(chunks.sparkSession)
-    schema = chunks.schema.add("vector", "array<float>") if "vector" not in chunks.columns else chunks.schema
+    schema = StructType([f for f in chunks.schema if f.name != "vector"] + [StructField("vector", ArrayType(FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -103,6 +104,6 @@ def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]],
                     raise ValueError(f"{len(part)} texts, {len(got)} vectors")
                 for i, v in zip(part, got):
                     vectors[i] = [float(x) for x in v]
-            yield pdf.assign(vector=vectors)
+            yield pdf.drop(columns="vector", errors="ignore").assign(vector=vectors)
 
     return chunks.mapInPandas(run, schema)
