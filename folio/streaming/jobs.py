@@ -20,7 +20,7 @@ def table_stream(spark: SparkSession, folder: str, schema: StructType, pattern:
 
 def latest(events: DataFrame, key: str, order: str, tie: str, *cols: str) -> DataFrame:
     """(key, *cols): the latest row of each key, on a stream or a table; the state kept for a key is one row."""
-    return events.groupBy(key).agg(F.max(F.struct(order, tie, *cols)).alias("m")).select(key, *(F.col(f"m.{c}").alias(c) for c in cols))
+    return events.groupBy(key).agg(F.max(F.struct(F.col(order).alias("_order"), F.col(tie).alias("_tie"), *cols)).alias("m")).select(key, *(F.col(f"m.{c}").alias(c) for c in cols))
 
 
 def windowed(events: DataFrame, time: str, width: str, late: str, *by: str) -> DataFrame:
