@@ -273,7 +273,7 @@ def _same(a: str, b: str) -> bool:
 
 def _is_number(s: str) -> bool:
     """The line holds nothing but a page number."""
-    if len(s) > 24 or "\\" in s or s[-1] in ".,;:" or s.count("(") != s.count(")"):
+    if not s or len(s) > 24 or "\\" in s or s[-1] in ".,;:" or s.count("(") != s.count(")"):
         return False
     m = _NUMBER.fullmatch(s)
     if not m:
