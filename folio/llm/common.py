@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from folio.functions.text import is_blank
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that little of them is held as Python objects at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def clean_ids(df: DataFrame, *cols: str) -> DataFrame:
     """``df`` reduced to ``cols``, without rows that lack one of them."""
     out = df.select(*cols)
