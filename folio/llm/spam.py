@@ -38,7 +38,6 @@ _BAR = re.compile(r"\s+(?:[|·>»/*•~→]|::|--|—)\s+|\s?[|»]\s?|\t|\s{2,}"
 _OTHER = re.compile(r"[^\w\s]|\n")
 _BARS = re.compile(r"[|·>»/*•~→\t—]|::|--|\s\s")
 _DOTTED = re.compile(r"\w\.[a-zA-Z]{3}")
-_DIGIT_END = re.compile(r"[\divxlc]\Z")
 _LIST = re.compile(r"\s?[,;、，،؛]\s?")
 _BULLET = re.compile(r"^(?:[-•*–·]|\d+[.)])\s+")
 _ENDS = re.compile(f"[{re.escape(END)}][\"”“»«』」)）\\]'’]*$")
@@ -50,7 +49,7 @@ _THAI = re.compile(r"[฀-๿]")
 def tokens(line: str) -> list[str]:
     """Words of a line, lower-cased; pairs of characters in scripts that set no spaces."""
     found = _TOKEN.findall(line.lower())
-    if not _WIDE.search(line):
+    if line.isascii() or not _WIDE.search(line):
         return found
     out: list[str] = []
     for t in found:
@@ -84,7 +83,7 @@ def _line_kind(line: str, toks: list[str]) -> tuple[str, str]:
         s = _SPACED.sub(lambda m: re.sub(r"[._\-]", "", m.group()), line)
     spaced = s != line
     s = s.strip()
-    if _DIGIT_END.search(s) and (_INDEX.fullmatch(s) or _CONTENTS.search(s)):
+    if (s[-1:].isdigit() or s[-1:] in "ivxlc") and s and (_INDEX.fullmatch(s) or _CONTENTS.search(s)):
         return "plain", ""
     dotted = "://" in s or "](" in s or "<a" in s or _DOTTED.search(s)
     work = "(" in s and _WORK.search(s)
@@ -102,7 +101,7 @@ def _line_kind(line: str, toks: list[str]) -> tuple[str, str]:
     pairs = _PAIR.findall(s) if ":" in s or "=" in s else []
     if len(pairs) >= 3 and len(set(pairs)) <= 0.75 * len(pairs) and len(_INNER.findall(s)) <= len(pairs) / 4:
         return "tags", ""
-    ended = bool(_ENDS.search(s)) and not _COUNT.search(s)
+    ended = bool(_ENDS.search(s[-8:])) and not (s[-1:] == ")" and _COUNT.search(s[-12:]))
     if len(pairs) == 1 and not ended and _TAG.fullmatch(s):
         return "tag", pairs[0].lower()
     bars = [x for x in _BAR.split(s) if x and x.strip()] if _BARS.search(s) else []
@@ -114,7 +113,7 @@ def _line_kind(line: str, toks: list[str]) -> tuple[str, str]:
     items = [x.lower() for x in _LIST.split(s.rstrip(END)) if x] if rep > 0.3 else []
     if len(items) >= 5 and len(set(items)) <= 0.7 * len(items) and inner <= len(items) / 5 and sum(len(x.split()) for x in items) <= 4 * len(items):
         return "keywords", ""
-    if not ended and inner <= n / 30 and n >= 8 and rep >= 0.5 and not _THAI.search(s):
+    if not ended and n >= 8 and rep >= 0.5 and inner <= n / 30 and not _THAI.search(s):
         return "keywords", ""
     if _stuffed(toks):
         return "stuffed", ""
@@ -124,7 +123,7 @@ def _line_kind(line: str, toks: list[str]) -> tuple[str, str]:
         return "sentence", ""
     if ended or s[-1:] in ",;:،؛，；：—" or s[:1] in "•":
         return "plain", ""
-    if _THAI.search(s) and (len(s) > 80 or s.count(" ") > 1):
+    if (len(s) > 80 or s.count(" ") > 1) and _THAI.search(s):
         return "plain", ""
     return "bare", s.lower()
 
