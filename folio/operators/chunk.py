@@ -89,7 +89,8 @@ def chunks(sections: DataFrame, settings: Settings = Settings(), count: Counter
     """
     size, over, around = settings.chunk_size, settings.chunk_overlap, settings.chunk_context
     s = sections.where("section_id IS NOT NULL AND raw_text IS NOT NULL").withColumn("_p", paragraphs(clean(F.col("raw_text"))))
-    s = s.where(F.size("_p") > 0).withColumn("_s", _pieces(F.col("_p"), size, count)).where(F.size("_s") > 0)
+    # no filter on what is computed here: it would be moved down and the work done twice; empty arrays end as no rows
+    s = s.withColumn("_s", _pieces(F.col("_p"), size, count))
     s = s.withColumn("_at", _numbers(F.col("_s"), size))
     s = s.withColumn("_z", F.arrays_zip(F.col("_s").alias("s"), F.col("_at").alias("n")))
     s = s.withColumn("_c", F.transform(F.sequence(F.lit(0), F.array_max("_at")), lambda k: F.transform(F.filter("_z", lambda x: x.n == k), lambda x: x.s)))

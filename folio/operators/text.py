@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from folio.functions.text import strip, word_count
@@ -35,11 +36,12 @@ def words13(c: Column) -> Column:
 
 
 def counted_by(encode: Callable[[str], int]) -> Counter:
-    """An exact counter from a tokenizer; ``encode`` gives the number of tokens of a text."""
-    import pandas as pd
+    """A counter of whole columns from a tokenizer; ``encode`` gives the number of tokens of a text.
 
-    @F.pandas_udf("int")
+    It is Python behind Arrow batches, which array expressions can't call: the chunker takes JVM expressions only.
+    """
     def count(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else max(1, encode(x)))
 
-    return count
+    count.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(count, "int")
