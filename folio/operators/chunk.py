@@ -19,19 +19,17 @@ def _pieces(paras: Column, size: int, count: Counter) -> Column:
     ``alone`` marks windows, ``first`` the first piece of a paragraph and ``para`` the tokens of its paragraph.
     """
 
-    def of_paragraph(p: Column) -> Column:
-        s = F.transform(sentences(p), lambda x: F.struct(strip(x).alias("text"), count(x).alias("tok")))
-        total = F.aggregate(s, F.lit(0), lambda a, x: a + x.tok)
+    # step by step, so that what belongs to a paragraph is computed once for it and not for each of its sentences
+    counted = F.transform(paras, lambda p: F.transform(sentences(p), lambda x: F.struct(strip(x).alias("text"), count(x).alias("tok"))))
+    summed = F.transform(counted, lambda s: F.struct(s.alias("s"), F.aggregate(s, F.lit(0), lambda a, x: a + x.tok).alias("total")))
 
-        def of_sentence(x: Column, i: Column) -> Column:
-            w = words(x.text)
-            windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda k: F.array_join(F.slice(w, k * size + 1, F.lit(size)), " "))
-            texts = F.when(x.tok > size, windows).otherwise(F.array(x.text))
-            return F.transform(texts, lambda t, j: F.struct(t.alias("text"), F.when(x.tok > size, count(t)).otherwise(x.tok).alias("tok"), (x.tok > size).alias("alone"), ((i == 0) & (j == 0)).alias("first"), total.alias("para")))
+    def of_sentence(x: Column, i: Column, total: Column) -> Column:
+        w = words(x.text)
+        windows = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / size).cast("int")), lambda k: F.array_join(F.slice(w, k * size + 1, F.lit(size)), " "))
+        texts = F.when(x.tok > size, windows).otherwise(F.array(x.text))
+        return F.transform(texts, lambda t, j: F.struct(t.alias("text"), F.when(x.tok > size, count(t)).otherwise(x.tok).alias("tok"), (x.tok > size).alias("alone"), ((i == 0) & (j == 0)).alias("first"), total.alias("para")))
 
-        return F.flatten(F.transform(s, of_sentence))
-
-    return F.flatten(F.transform(paras, of_paragraph))
+    return F.flatten(F.transform(summed, lambda y: F.flatten(F.transform(y.s, lambda x, i: of_sentence(x, i, y.total)))))
 
 
 def _numbers(pieces: Column, size: int) -> Column:
