@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folio.session import ship, stored
 
 
+#: Targets are a list that the driver reads; more sources are an error.
+MOST_SOURCES = 100_000
+
+
 def source_key(c):
     """A source's name without case, white space at its ends and differences of hyphen and underscore; blank is null."""
     s = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")), r"[\s\-]+", "_")
@@ -70,7 +74,9 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8,
     d = sizes.where("doc_id IS NOT NULL AND tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
     d = stored(d.join(F.broadcast(t.select("source")), "source").dropDuplicates(["doc_id"]))
     held = {r.source: (r.tokens, r.docs) for r in d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
-    rows = {r.source: (float(r.share), int(r.repeats)) for r in t.collect()}
+    rows = {r.source: (float(r.share), int(r.repeats)) for r in t.limit(MOST_SOURCES + 1).collect()}
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     live = sorted(s for s in rows if s in held)
     whole = sum(rows[s][0] for s in live) or 1.0
     share = {s: rows[s][0] / whole for s in live}
@@ -117,7 +123,7 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.where("source IS NOT NULL").groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"))
     use = mixture.groupBy("source", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("used"))
     got = use.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("used").alias("most_used"))
-    all_of = got.agg(F.sum("tokens").alias("whole"))
-    return t.join(F.broadcast(got), "source", "left").join(F.broadcast(all_of), F.lit(True), "left").select(
-        "source", "target_share", F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("tokens", "documents", "most_used"))
-    )
+    j = t.join(got, "source", "left")
+    # one row a target: their sum needs no more than one task
+    whole = F.sum("tokens").over(Window.partitionBy())
+    return j.select("source", "target_share", F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("actual_share"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("tokens", "documents", "most_used")))
