@@ -7,7 +7,7 @@ only if it shares first tokens under every order. The candidates are verified ex
 A token that stands in too many texts would join all pairs of a group that shares no more than a notice. Such tokens are
 left out of all texts alike. Texts that lose a large part of their first tokens that way take a second route: there the
 runs of ``k`` characters themselves are ordered by their exact frequency, rarest first, and the classical prefix that no
-similar pair can miss is used in full.
+similar pair can miss is used in full. Short texts, such as titles, take that route alone.
 """
 
 from __future__ import annotations
@@ -88,19 +88,15 @@ def keyed(df: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFr
     return one.select("id", "h"), one.select("h", "t")
 
 
-_POST = "h bigint, given int, token bigint"
-
-
-def _first_tokens(one: DataFrame, lengths: list, p: int, orders: int, k: int, signed: bool) -> DataFrame:
+def _first_tokens(one: DataFrame, lengths: list, p: int, orders: int) -> DataFrame:
     """(h, given, token): the first ``p`` tokens of each text of (h, t) under each order; given is the number of all of them.
 
-    The last two bits of a token name its order. With ``signed`` also n, the number of distinct runs of ``k`` characters,
-    and their signature s1, s2 of 128 bits.
+    The last two bits of a token name its order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            many, tok, n_of, s1, s2 = [], [], [], [], []
+            many, tok = [], []
             for t in batch.column(1).to_pylist():
                 n, mine = len(t), 0
                 own = [_hashes(t, q) for q, lo, hi in lengths if lo <= n <= hi]
@@ -110,76 +106,85 @@ def _first_tokens(one: DataFrame, lengths: list, p: int, orders: int, k: int, si
                     tok.append(few & ~np.uint64(3) | np.uint64(j))
                     mine += len(few)
                 many.append(mine)
-                if signed:
-                    g = runs(t, k)
-                    bit, upper = np.uint64(1) << (g & np.uint64(63)), (g >> np.uint64(6) & np.uint64(1)).astype(bool)
-                    n_of.append(len(g))
-                    s1.append(np.bitwise_or.reduce(bit[upper], initial=np.uint64(0)))
-                    s2.append(np.bitwise_or.reduce(bit[~upper], initial=np.uint64(0)))
             if not many:
                 continue
             cols = {"h": pa.array(np.repeat(batch.column(0).to_numpy(), many)), "given": pa.array(np.repeat(np.array(many, np.int32), many)), "token": pa.array(np.concatenate(tok).view(np.int64))}
-            if signed:
-                cols |= {"n": pa.array(np.repeat(np.array(n_of, np.int32), many)), "s1": pa.array(np.repeat(np.array(s1, np.uint64).view(np.int64), many)), "s2": pa.array(np.repeat(np.array(s2, np.uint64).view(np.int64), many))}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return one.mapInArrow(run, _POST + (", n int, s1 bigint, s2 bigint" if signed else ""))
+    return one.mapInArrow(run, "h bigint, given int, token bigint")
 
 
-def _all_tokens(one: DataFrame, k: int) -> DataFrame:
-    """(h, size, token): all runs of ``k`` characters of each text of (h, t); size is their number."""
+def _all_tokens(one: DataFrame, k: int, signed: bool = False) -> DataFrame:
+    """(h, size, token): all runs of ``k`` characters of each text of (h, t); size is their number.
+
+    With ``signed`` also their signature s1, s2 of 128 bits.
+    """
+
+    def signature(g: np.ndarray) -> tuple[np.uint64, np.uint64]:
+        bit, upper = np.uint64(1) << (g & np.uint64(63)), (g >> np.uint64(6) & np.uint64(1)).astype(bool)
+        return np.bitwise_or.reduce(bit[upper], initial=np.uint64(0)), np.bitwise_or.reduce(bit[~upper], initial=np.uint64(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 200):
             own = [runs(t, k) for t in batch.column(1).to_pylist()]
-            if own:
-                n = np.array([len(x) for x in own], np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(own).view(np.int64))], names=["h", "size", "token"])
+            if not own:
+                continue
+            n = np.array([len(x) for x in own], np.int32)
+            cols = {"h": pa.array(np.repeat(batch.column(0).to_numpy(), n)), "size": pa.array(np.repeat(n, n)), "token": pa.array(np.concatenate(own).view(np.int64))}
+            if signed:
+                both = np.array([signature(x) for x in own], np.uint64).view(np.int64)
+                cols |= {"s1": pa.array(np.repeat(both[:, 0], n)), "s2": pa.array(np.repeat(both[:, 1], n))}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return one.mapInArrow(run, "h bigint, size int, token bigint")
+    return one.mapInArrow(run, "h bigint, size int, token bigint" + (", s1 bigint, s2 bigint" if signed else ""))
 
 
-def _prefix_pairs(again: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(again: DataFrame, threshold: float, signed: bool = False) -> DataFrame:
     """(a, b): pairs of (h, size, token) that share a token of their prefixes, rarest tokens first.
 
     The list of a token is cut by size in steps of 1 / threshold; a text can only be similar to those of its own step and
-    of the neighbouring ones.
+    of the neighbouring ones. The first token that a pair shares leaves room for no more common ones than stand behind it
+    in either text. With ``signed`` its signatures must also differ in no more bits than two sets of that similarity can.
+    None of this loses a similar pair, however common its tokens are.
     """
     freq = again.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     rank = Window.partitionBy("h").orderBy("df", "token")
     step = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    p = again.join(freq, "token").withColumn("at", F.row_number().over(rank)).where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & (F.col("df") > 1)).withColumn("step", step)
-    left = p.select("token", F.col("h").alias("a"), F.col("size").alias("sa"), F.col("step").alias("at"))
-    right = p.select("token", F.col("h").alias("b"), F.col("size").alias("sb"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("at"))
-    j = left.join(right, ["token", "at"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.lit(threshold - 1e-9) * F.greatest("sa", "sb")))
-    return j.select("a", "b").distinct()
+    p = again.join(freq, "token").withColumn("at", F.row_number().over(rank)).where((F.col("at") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1) & (F.col("df") > 1)).withColumn("step", step)
+    more = ["s1", "s2"] if signed else []
+    left = p.select("token", F.col("h").alias("a"), F.col("size").alias("sa"), F.col("at").alias("ia"), F.col("step").alias("ta"), F.col("step").alias("at"), *(F.col(c).alias(c + "a") for c in more))
+    right = p.select("token", F.col("h").alias("b"), F.col("size").alias("sb"), F.col("at").alias("ib"), F.col("step").alias("tb"), F.explode(F.array(F.col("step") - 1, F.col("step"))).alias("at"), *(F.col(c).alias(c + "b") for c in more))
+    j = left.join(right, ["token", "at"]).where(((F.col("ta") < F.col("tb")) | (F.col("a") < F.col("b"))) & (F.least("sa", "sb") >= F.lit(threshold - 1e-9) * F.greatest("sa", "sb")))
+    j = j.where(1 + F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) >= (F.col("sa") + F.col("sb")) * (threshold / (1 + threshold)) - 1e-6)
+    if signed:
+        bits = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
+        j = j.where(bits <= (F.col("sa") + F.col("sb")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    return j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(one: DataFrame, k: int, threshold: float, lengths: list, p: int, orders: int, shared: int = 1, signed: bool = False, common: int = 16, lost: float = 0.3) -> DataFrame:
+def near_duplicates(one: DataFrame, k: int, threshold: float, lengths: list | None = None, p: int = 32, orders: int = 2, shared: int = 1, common: int = 16, lost: float = 0.3) -> DataFrame:
     """(a, b, similarity): pairs of keys of (h, t) whose texts' sets of ``k``-character runs are similar enough.
 
     ``lengths`` gives the lengths of the tokens that filter, each with the least and greatest length of the texts it
     holds for; ``p`` is their number under each of the ``orders``. A candidate shares a token under every order and
-    ``shared`` of them in all. With ``signed`` its 128-bit signatures must also differ in no more bits than two sets of
-    that similarity can, which loses nothing. Where ``p`` takes all tokens, every pair that has a run of that length in
-    common is found; otherwise the number of shared tokens is binomial, and ``shared`` lies far in its tail. Tokens in
+    ``shared`` of them in all; the number of shared tokens is binomial, and ``shared`` lies far in its tail. Tokens in
     more than ``common`` rows are left out; texts that lose more than the share ``lost`` of their tokens also go the
-    second route, which misses no pair of two such texts.
+    second route, which misses no pair of two such texts. Without ``lengths`` all texts go the second route alone, which
+    then misses no pair at all; meant for short texts, whose sets of runs have a signature of 128 bits.
 
     The keys are those of :func:`keyed`: equal texts share one and are compared once. Texts with many copies, or in large
     groups of near copies, have common tokens only and go the second route. An empty table gives an empty result.
     """
     ship(one.sparkSession)
-    posts = stored(_first_tokens(one, lengths, p, orders, k, signed))
+    if lengths is None:
+        found = _prefix_pairs(stored(_all_tokens(one.dropDuplicates(["h"]), k, signed=True)), threshold, signed=True)
+        return verify(stored(found), one, k, threshold)
+    posts = stored(_first_tokens(one, lengths, p, orders))
     count = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     posts = stored(posts.join(count, "token"))
     rare = posts.where(F.col("df") <= common)
-    more = ["n", "s1", "s2"] if signed else []
-    a, b = (rare.select("token", *(F.col(c).alias(c + x) for c in ["h", *more])) for x in "ab")
+    a, b = (rare.select("token", F.col("h").alias("h" + x)) for x in "ab")
     j = a.join(b, "token").where("ha < hb")
-    if signed:
-        bits = F.bit_count(F.col("s1a").bitwiseXOR(F.col("s1b"))) + F.bit_count(F.col("s2a").bitwiseXOR(F.col("s2b")))
-        j = j.where(bits <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
     by_order = [F.max((F.col("token").bitwiseAND(3) == o).cast("int")) for o in range(orders)]
     found = j.groupBy(F.col("ha").alias("a"), F.col("hb").alias("b")).agg(F.count(F.lit(1)).alias("tokens"), sum(by_order[1:], by_order[0]).alias("orders"))
     found = found.where((F.col("orders") == orders) & (F.col("tokens") >= shared)).select("a", "b")
@@ -262,8 +267,9 @@ def expand(member: DataFrame, pairs: DataFrame) -> DataFrame:
 #: in both even if the edits lie evenly spread; with 64 tokens drawn, fewer than 4 shared ones have a chance of about one in a thousand, and for edits that lie as they
 #: fall one far below.
 TEXT = {"least": 200, "how": {"k": 12, "threshold": 0.6, "lengths": [(32, 0, 1 << 40)], "p": 32, "orders": 2, "shared": 4}}
-#: Titles: runs of 3 characters, 70 % in both. Such titles have a run of 10 or, if longer, of 12 characters in common.
-TITLE = {"least": 20, "how": {"k": 3, "threshold": 0.7, "lengths": [(10, 0, 50), (12, 34, 1 << 40)], "p": 1 << 40, "orders": 1, "signed": True, "lost": 0.6}}
+#: Titles: runs of 3 characters, 70 % in both. They are short enough for the exact route alone: a title that stands in very
+#: many rows, or in a large group of near copies, has no rare token in common with its edited copies.
+TITLE = {"least": 20, "how": {"k": 3, "threshold": 0.7}}
 
 
 def similar(df: DataFrame, id_col: str, text_col: str, least: int, how: dict) -> tuple[DataFrame, DataFrame]:

@@ -58,6 +58,20 @@ def test_titles_with_edits_near_the_threshold(spark):
     assert _found(df, "title", neardup.TITLE) == _brute(rows, 3, 0.7, 20)
 
 
+def test_popular_titles_and_their_edited_copies(spark):
+    # the title's tokens stand in many rows, the tokens around an edit in few
+    rng = random.Random(4)
+    rows = []
+    for g in range(40):
+        base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(24, 60)))
+        rows += [(f"{g:02d}-{j:02d}", base) for j in range(20)] + [(f"{g:02d}-e{j}", _edited(rng, base, 1 + j % 2)) for j in range(3)]
+    parts = ["abcdefghi", "jklmnopqr", "stuvwxyzq"]
+    rows += [("r0", "".join(parts)), ("r1", "".join(parts[::-1]))]  # 21 of 29 runs in both, none of 10 characters
+    df = spark.createDataFrame(rows, "id string, title string")
+    want = _brute(rows, 3, 0.7, 20)
+    assert ("r0", "r1") in want and _found(df, "title", neardup.TITLE) == want
+
+
 def test_large_group_of_near_copies(spark):
     # more near copies than a token may have: they go the second route
     rng = random.Random(2)
