@@ -1,9 +1,10 @@
 """Pages of repeated keywords, link lists and product tags, by rank-frequency curves.
 
 For each page the frequencies of its words are ranked. In SQL windows the curve log frequency against log rank gets a
-slope and a residual, and the share of words by rank a divergence from the mean curve of pages of the same language and
-of comparable length, most of which are prose. A page that is extreme in slope, residual or divergence is suspected; an
-exact check of its lines then decides whether more than half of its characters are spam.
+slope and a residual, and the share of words by rank a divergence from the mean curve of the prose of the same language
+and of comparable length, which pages of spam and copies have no part in. A page that is extreme in slope, residual or divergence is suspected. An
+exact check of its lines decides whether more than half of its characters are spam, suspected or not: spam can have the
+curve of prose.
 """
 
 from __future__ import annotations
@@ -184,9 +185,9 @@ def _script(text: str) -> str:
 
 
 def page_statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, size, share, curve) of each page with words.
+    """(doc_id, key, lang, size, share, curve) of each page with words.
 
-    ``lang`` is the declared language of text in Latin script and otherwise the script's, ``size`` the logarithm of the
+    ``key`` is shared by equal texts, ``lang`` is the declared language of text in Latin script and otherwise the script's, ``size`` the logarithm of the
     number of words in steps of one half, ``curve`` the array of (frequency, number of words that have it).
     """
     ship(documents.sparkSession)
@@ -194,35 +195,36 @@ def page_statistics(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, sizes, shares, curves = [], [], [], [], []
-            for i, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            ids, keys, langs, sizes, shares, curves = [], [], [], [], [], []
+            for i, key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words, share = page(text)
                 n = words.total()
                 if n == 0:
                     continue
                 script = _script(text)
                 ids.append(i)
+                keys.append(key)
                 langs.append((lang or "").strip().lower()[:2] or "la" if script == "la" else script)
                 sizes.append(int(2 * math.log(n)))
                 shares.append(share)
                 curves.append([{"f": f, "k": k} for f, k in Counter(words.values()).items()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(shares, pa.float64()), pa.array(curves, curve)], names=["doc_id", "lang", "size", "share", "curve"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(shares, pa.float64()), pa.array(curves, curve)], names=["doc_id", "key", "lang", "size", "share", "curve"])
 
-    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", "text")
-    return d.mapInArrow(run, "doc_id bigint, lang string, size int, share double, curve array<struct<f:int,k:int>>")
+    d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "lang", "text")
+    return d.mapInArrow(run, "doc_id bigint, key bigint, lang string, size int, share double, curve array<struct<f:int,k:int>>")
 
 
 def curves(stats: DataFrame) -> DataFrame:
-    """(doc_id, lang, size, share, slope, residual, p0 ... p11) of each page, by windows over its rank-frequency curve.
+    """(doc_id, key, lang, size, share, slope, residual, p0 ... p11) of each page, by windows over its rank-frequency curve.
 
     All words of one frequency stand on the curve as one point, at the middle of their ranks and with their number as
     weight. ``p`` are the shares of the page's words by rank, in octaves.
     """
-    at = stats.select("doc_id", "lang", "size", "share", F.explode("curve").alias("c")).select("doc_id", "lang", "size", "share", "c.f", "c.k")
+    at = stats.select("doc_id", "key", "lang", "size", "share", F.explode("curve").alias("c")).select("doc_id", "key", "lang", "size", "share", "c.f", "c.k")
     ranked = Window.partitionBy("doc_id").orderBy(F.desc("f"))
     at = at.withColumn("last", F.sum("k").over(ranked)).withColumn("rank", F.col("last") - (F.col("k") - 1) / 2)
     x, y, w = F.log("rank"), F.log("f"), F.col("k")
-    fit = at.groupBy("doc_id", "lang", "size", "share").agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy"), F.sum(w * y * y).alias("yy"), F.sum(F.col("f") * w).alias("n"), F.collect_list(F.struct("last", "f", "k")).alias("points"))
+    fit = at.groupBy("doc_id", "key", "lang", "size", "share").agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy"), F.sum(w * y * y).alias("yy"), F.sum(F.col("f") * w).alias("n"), F.collect_list(F.struct("last", "f", "k")).alias("points"))
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("w") for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
     slope = F.when(sxx > 1e-9, sxy / sxx).otherwise(0.0)
     fit = fit.withColumn("slope", slope).withColumn("residual", F.sqrt(F.greatest(F.lit(0.0), syy - F.col("slope") * sxy) / F.col("w")))
@@ -234,29 +236,32 @@ def curves(stats: DataFrame) -> DataFrame:
         inside = lambda p: F.greatest(F.lit(0), F.least(p.last, F.lit(hi)) - F.greatest(p.last - p.k, F.lit(lo)))
         return F.aggregate("points", F.lit(0.0), lambda a, p: a + inside(p) * p.f) / F.col("n")
 
-    return fit.select("doc_id", "lang", "size", "share", "slope", "residual", *(share(j).alias(f"p{j}") for j in range(octaves)))
+    return fit.select("doc_id", "key", "lang", "size", "share", "slope", "residual", *(share(j).alias(f"p{j}") for j in range(octaves)))
 
 
 def spam_pages(documents: DataFrame, z: float = 1.2, share: float = 0.5, least: int = 20) -> DataFrame:
-    """(doc_id, slope, residual, divergence, share) of the pages of spam.
+    """(doc_id, slope, residual, divergence, share, suspected) of the pages of spam.
 
-    Slope, residual and divergence of a page are held against the median of the pages of its language and size, in units
-    of the median deviation; beyond ``z`` in one of them the page is suspected. Where fewer than ``least`` pages can be
-    compared every page is. Of the suspected pages those stay of whose characters more than ``share`` are on lines of
-    spam. Null ids, null and blank texts and texts without a word give no rows; equal texts are judged alike under each
+    Slope, residual and divergence of a page are held against the median of the prose of its language and size, in units
+    of the median deviation; beyond ``z`` in one of them the page is suspected. Prose are the different texts of whose
+    characters no more than ``share`` are on lines of spam. Where there are fewer than ``least`` of them every page is
+    suspected. Pages of spam are those of whose characters more than ``share`` are on lines of spam; ``suspected`` only
+    tells whether their curves show it. Null ids, null and blank texts and texts without a word give no rows; equal texts are judged alike under each
     of their ids; null and odd languages form groups of their own. An empty table gives an empty result.
     """
     c = cut(curves(page_statistics(documents)))
     p = [f"p{j}" for j in range(12)]
-    mean = c.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("pages"), *(F.avg(x).alias(f"m_{x}") for x in p))
-    c = c.join(mean, ["lang", "size"])
+    prose = lambda pages: pages.where(F.col("share") <= share).dropDuplicates(["lang", "size", "key"]).groupBy("lang", "size")
+    mean = prose(c).agg(F.count(F.lit(1)).alias("pages"), *(F.avg(x).alias(f"m_{x}") for x in p))
+    c = c.join(mean, ["lang", "size"], "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
     kl = sum((F.when(F.col(x) > 0, F.col(x) * F.log((F.col(x) + 1e-4) / (F.col(f"m_{x}") + 1e-4))).otherwise(0.0) for x in p), F.lit(0.0))
-    c = cut(c.select("doc_id", "lang", "size", "share", "pages", "slope", "residual", kl.alias("divergence")))
+    c = cut(c.select("doc_id", "key", "lang", "size", "share", "pages", "slope", "residual", kl.alias("divergence")))
     measures = ("slope", "residual", "divergence")
-    mid = c.groupBy("lang", "size").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in measures))
-    c = c.join(mid, ["lang", "size"])
+    mid = prose(c).agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in measures))
+    c = c.join(mid, ["lang", "size"], "left")
     extreme = F.lit(False)
     for x in measures:
         q = F.col(f"q_{x}")
         extreme = extreme | (F.abs(F.col(x) - q[1]) > z * F.greatest((q[2] - q[0]) / 2, F.lit(1e-6)))
-    return c.where((extreme | (F.col("pages") < least)) & (F.col("share") > share)).select("doc_id", "slope", "residual", "divergence", "share").dropDuplicates(["doc_id"])
+    c = c.where(F.col("share") > share).withColumn("suspected", F.coalesce(extreme | (F.col("pages") < least), F.lit(True)))
+    return c.select("doc_id", "slope", "residual", "divergence", "share", "suspected").dropDuplicates(["doc_id"])

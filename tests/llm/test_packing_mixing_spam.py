@@ -115,6 +115,29 @@ def test_spam_pages(spark):
     assert spam.spam_pages(d.limit(0)).count() == 0
 
 
+def test_spam_and_copies_are_most_of_their_group(spark):
+    rng = random.Random(3)
+    words = [f"w{a}{b}" for a in "abcdefgh" for b in "ijklmnop"]
+
+    def prose():
+        return " ".join(f"{' '.join(rng.sample(words, 9)).capitalize()}." for _ in range(4))
+
+    def stuffed(a, b):
+        return SPAM["stuffed"].replace("cheap", a).replace("free", b)
+
+    copies = [(k, SPAM["stuffed"], "en") for k in range(40)]
+    few = copies + [(100 + k, prose(), "en") for k in range(5)]
+    much = copies + [(100 + k, prose(), "en") for k in range(30)]
+    several = [(k, stuffed(f"a{k}", f"b{k}"), "en") for k in range(40)] + much[40:]
+    for rows in (few, much, several):
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        got = spam.spam_pages(d).collect()
+        assert {r.doc_id for r in got} == set(range(40)) and all(r.suspected for r in got)
+    # spam with the curve of prose is spam
+    got = spam.spam_pages(d, z=1e9).collect()
+    assert {r.doc_id for r in got} == set(range(40)) and not any(r.suspected for r in got)
+
+
 def test_rank_frequency_fit(spark):
     # frequencies 1000 / r: slope -1, no residual but for rounding
     text = " ".join(f"w{chr(97 + r)}" for r in range(1, 21) for _ in range(1000 // r))
