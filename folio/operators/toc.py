@@ -55,7 +55,7 @@ def tree(toc: DataFrame, deepest: int = 8) -> DataFrame:
 
 
 def path_ids(toc: DataFrame, deepest: int = 8) -> DataFrame:
-    """(book_id, id, level, ord, path_id): paths such as 001.002.004 that count the rows of a level since the last row above it."""
+    """(book_id, id, level, ord, path_id): paths such as 001.002.004 that count the rows of a level since the last row above it, in three digits or as many as it takes."""
     flat = numbered(toc)
     at = _lasts(flat, deepest)
     above = F.greatest(F.lit(0), *(F.when(F.col("level") > k, _ord(k)) for k in range(1, deepest + 1)))
@@ -65,8 +65,9 @@ def path_ids(toc: DataFrame, deepest: int = 8) -> DataFrame:
     parts = []
     for k in range(1, deepest + 1):
         top = F.greatest(F.lit(0), F.lit(0), *(_ord(j) for j in range(1, k)))
-        count = F.when(_ord(k) > top, F.col(f"l{k}.c")).otherwise(0)
-        parts.append(F.when(F.col("level") >= k, F.lpad(F.coalesce(count, F.lit(0)).cast("string"), 3, "0")))
+        count = F.coalesce(F.when(_ord(k) > top, F.col(f"l{k}.c")).otherwise(0), F.lit(0))
+        # lpad would cut counts of more than three digits
+        parts.append(F.when(F.col("level") >= k, F.format_string("%03d", count)))
     return at.select("book_id", "id", "level", "ord", F.concat_ws(".", *parts).alias("path_id"))
 
 

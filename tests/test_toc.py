@@ -40,6 +40,16 @@ def test_path_ids(spark):
     assert [r.path_id for r in got] == ["001", "001.001", "001.002", "002", "002.000.001", "002.001"]
 
 
+def test_path_ids_of_more_than_a_thousand_rows(spark):
+    # level 1: 1,200 rows, then 1,100 of level 2 below the last of them
+    paths = toc.path_ids(_toc(spark, [1] * 1200 + [2] * 1100))
+    got = [r.path_id for r in paths.orderBy("ord").collect()]
+    assert got == [f"{k:03d}" for k in range(1, 1201)] + [f"1200.{k:03d}" for k in range(1, 1101)]
+    assert toc.under_path(paths, "100").count() == 1 and toc.under_path(paths, "120").count() == 1
+    under = {r.path_id: r.parent_path for r in toc.under_path(paths, "1200").collect()}
+    assert len(under) == 1101 and under["1200.1100"] == "1200" and under["1200"] is None
+
+
 def test_large_group_is_split(spark):
     n = 9000
     levels = [1 + k % 3 for k in range(n)]
