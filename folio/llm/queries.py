@@ -42,18 +42,24 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "sections"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of edited copies among section texts and among titles."""
+def _similar(spark: SparkSession, d: str, collect) -> DataFrame:
+    """What ``collect`` makes of the similar section texts and of the similar titles, under their field."""
     out = None
     for field, name, col, how in (("text", "sections", "raw_text", neardup.TEXT), ("title", "toc_entries", "title", neardup.TITLE)):
-        got = neardup.expand(*neardup.similar(table(spark, d, name), "id", col, **how)).select(F.lit(field).alias("field"), "id_a", "id_b")
+        got = collect(*neardup.similar(table(spark, d, name), "id", col, **how))
+        got = got.select(F.lit(field).alias("field"), *got.columns)
         out = got if out is None else out.union(got)
     return out
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of edited copies among section texts and among titles."""
+    return _similar(spark, d, neardup.expand)
+
+
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
-    """The group of copies of each section, and the links of its text."""
-    return neardup.groups(*neardup.similar(table(spark, d, "sections"), "id", "raw_text", **neardup.TEXT))
+    """The group of copies of each section and of each toc row, and the links of its text or title."""
+    return _similar(spark, d, neardup.groups)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -93,6 +93,26 @@ def test_chain_is_one_group(spark):
     assert {r.group_id for r in g} == {"00"} and {r.links for r in g} >= {1, 2}
 
 
+def test_groups_of_both_fields(spark, data):
+    got = {(r.field, r.id): r.group_id for r in queries.p4_groups(spark, data).collect()}
+    assert {f for f, _ in got} == {"text", "title"}
+    for field, name, col, cfg in (("text", "sections", "raw_text", neardup.TEXT), ("title", "toc_entries", "title", neardup.TITLE)):
+        rows = table(spark, data, name).select("id", col).distinct().collect()
+        near = defaultdict(set)
+        for a, b in _brute(rows, cfg["how"]["k"], cfg["how"]["threshold"], cfg["least"]):
+            near[a].add(b)
+            near[b].add(a)
+        mine = [i for f, i in got if f == field]
+        assert near and near.keys() <= set(mine)
+        for i in mine:
+            group, todo = {i}, [i]
+            while todo:
+                new = near[todo.pop()] - group
+                group |= new
+                todo += new
+            assert got[field, i] == min(group)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id string, raw_text string")
     member, pairs = neardup.similar(df, "id", "raw_text", **neardup.TEXT)
