@@ -107,6 +107,14 @@ def test_plain_lines(name):
     assert spam.page(PLAIN[name])[1] < 0.5
 
 
+def test_very_long_line_and_script_of_whole_text():
+    assert spam._stuffed(["cheap", "books"] * 49_500) and spam._stuffed(["cheap", "books"] * 50_500)
+    assert not spam._stuffed([f"w{k}" for k in range(101_000)])
+    head = "The gate. " * 50
+    assert spam._script(head + "पहरेदार रेत की चाल सुधारता है। " * 60) == "hi" and spam._script(head) == "la"
+    assert spam._script("山川" * 1200 + "ひらがなとカタカナ" * 100) == "ja" and spam._script("山川" * 1200) == "zh" and spam._script("...") == "la"
+
+
 def test_spam_pages(spark):
     rows = [(k, (PROSE, MORE, PROSE + MORE)[k % 3], "en") for k in range(60)] + [(100 + k, t, None) for k, t in enumerate(SPAM.values())] + [(200, None, "en"), (201, " ", "en"), (None, "x", "en"), (202, "...", "en")]
     d = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, share double")
