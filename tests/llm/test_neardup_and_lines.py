@@ -84,6 +84,59 @@ def test_large_group_of_near_copies(spark):
     assert len(g) == 90 and {r.group_id for r in g} == {"000"}
 
 
+def test_titles_of_one_series(spark):
+    # a prefix of 24 letters in all of them; each pair just above the threshold
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    series = "".join(rng.choice(letters) for _ in range(24))
+    rows = []
+    for g in range(200):
+        a = series + "".join(rng.choice(letters) for _ in range(18))
+        k = 24 + rng.randrange(4, 14)
+        rows += [(f"{g:03d}a", a), (f"{g:03d}b", a[:k] + rng.choice(letters.replace(a[k], "")) + a[k + 1 :])]
+    df = spark.createDataFrame(rows, "id string, title string")
+    want = _brute(rows, 3, 0.7, 20)
+    assert len(want) >= 200 and _found(df, "title", neardup.TITLE) == want
+
+
+def test_common_notice_and_spread_edits(spark):
+    # a quarter of each text is a notice all of them have, the rest has an edit every 37 or so letters
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for seed, every in ((5, 37), (6, 39), (7, 36)):
+        rng = random.Random(seed)
+        notice = "".join(rng.choice(letters) for _ in range(500))
+        rows = []
+        for g in range(200):
+            a = "".join(rng.choice(letters) for _ in range(1500))
+            b = list(a)
+            for at in range(every // 2, 1500, every):
+                b[at] = rng.choice(letters.replace(a[at], ""))
+            rows += [(f"{g:03d}a", notice + a), (f"{g:03d}b", notice + "".join(b))]
+        df = spark.createDataFrame(rows, "id string, raw_text string")
+        # only pairs of one g can be that similar: the others have the notice in common and no more
+        want = {x for g in range(200) for x in _brute(rows[2 * g : 2 * g + 2], 12, 0.6, 200)}
+        assert (every == 36 or len(want) > 100) and _found(df, "raw_text", neardup.TEXT) == want
+
+
+def test_hot_key_is_divided(spark):
+    rows = spark.createDataFrame([("k", i, 50) for i in range(50)] + [("l", 99, 1)], "key string, id long, n long")
+    got = neardup.meet(rows, "key", "id", most=7)
+    assert got.count() == got.distinct().count() == 50 * 49 // 2 and got.select("part").distinct().count() == 8
+    assert neardup.agreement(0.6, 384) == 264
+
+
+def test_first_tokens_agree_as_often_as_the_sets(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghij") for _ in range(900))
+    for k, orders, parts, n in ((12, 384, 64, 900), (3, 192, 1, 45)):
+        off = 0.0
+        for _ in range(60):
+            t = base[: n // 2] + "".join(rng.choice("abcdefghij") for _ in range(n // 2))
+            a, b = neardup.runs(t, k), neardup.runs(_edited(rng, t, n // 50 + 1), k)
+            off += (neardup.firsts(a, orders, parts) == neardup.firsts(b, orders, parts)).mean() - neardup.similarity(a, b)
+        assert abs(off / 60) < 0.015
+
+
 def test_chain_is_one_group(spark):
     # each text overlaps only with its neighbours
     rng = random.Random(6)
