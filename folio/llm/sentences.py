@@ -1,20 +1,26 @@
 """Sentence boundaries in any script by a hidden-event n-gram model.
 
-Between two tokens stands either nothing or a hidden boundary token. Only some gaps can hold one: those after an end
-mark, with the closing marks behind it, and in Thai those at a space. For a gap with the token ``l`` on its left and the
-kind of token ``r`` on its right the model compares
+Between any two words stands either nothing or a hidden boundary token. For a gap with the token ``l`` on its left and the
+word ``r`` on its right the model compares
 
     P(boundary | l) * P(r | start of a sentence)    with    P(no boundary | l) * P(r | l, sentence goes on).
 
-The ends and starts of paragraphs are boundaries that can be seen; they give P(r | start) and, since a token that ends
-sentences also ends paragraphs at the general rate, P(boundary | l). The rest follows by expectation maximisation over
-counts of the whole corpus. A quotation that opens a sentence is another token than one inside it, so a decision depends
-on the one before: forward-backward over the gaps of a paragraph gives the posteriors, and those above one half are
-boundaries. Marks inside quotation marks or brackets are no gaps.
+Both probabilities of ``r`` are word n-grams: how often the word opens paragraphs, and how often it stands inside a
+sentence, behind another word. The second one is a class n-gram: the kind of word that follows ``l`` when the sentence goes
+on (a number, a small letter, a capital one ...), and the word given its kind. A gap behind a word without an end mark is
+seen to be no boundary wherever the text has end marks at all, which is where the inner words are counted; the ends and
+starts of paragraphs are boundaries that are seen. For the gaps between, behind an end mark, and in Thai at a space, the
+model is fitted by expectation maximisation over counts of the whole corpus. A token ``l`` that is rare takes the chances of the tokens of
+its shape, so an abbreviation nobody listed is told by its shape and by the word behind it; there is no list of abbreviations.
+
+A quotation that opens a sentence is another token than one inside it, so a decision depends on the one before:
+forward-backward over the gaps of a paragraph gives the posteriors, and those above one half are boundaries. Marks inside
+quotation marks or brackets are no gaps. Text without any end mark is the matter of :mod:`folio.llm.unmarked`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,28 +31,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from folio.llm.common import reflowable_ids, texts
-from folio.session import ship
+from folio.llm.common import reflowable_ids, slices, texts
+from folio.session import cut, ship
 
-#: Buckets into which left tokens are hashed; with RIGHT it bounds the size of the model.
-LEFT_BITS = 20
-#: Kinds of right token: the named ones and 58 buckets for the first character of a script without case.
-RIGHT = 64
+#: Buckets into which left tokens and words are hashed.
+LEFT_BITS, WORD_BITS = 20, 20
+#: How many left tokens, the most frequent ones, have chances of their own; rarer ones share those of their shape. With RIGHT it bounds the model.
+MOST_LEFTS = 200_000
+#: Kinds of right token: the named ones, 58 buckets for the first character behind a quotation in scripts without case, and
+#: from CAPITAL and CASELESS on the steps of the ratio between a word's frequencies at the start of and inside sentences.
+RIGHT, CAPITAL, CASELESS, STEPS = 96, 64, 80, 16
 
 # Marks.
 END = ".!?…。！？．｡।॥؟۔։።"
 OPEN_BRACKET, CLOSE_BRACKET = "([{（［【〔〈《", ")]}）］】〕〉》"
 CLOSERS = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "‹": "›", "｢": "｣", '"': '"', **{a: b for a, b in zip(OPEN_BRACKET, CLOSE_BRACKET)}}
 CLOSING = set("”“»«」』›｣\"") | set(CLOSE_BRACKET)
-# Abbreviations that end no sentence by themselves, as prior knowledge of the model.
-ABBREVIATIONS = """
-dr mr mrs ms prof st jr sr vs cf fig figs no nos vol vols p pp ch ed eds e.g i.e viz gen col rev capt lt hon
-m mm mme mlle art chap env av apr t
-hr fr nr bd abb s ca vgl bzw z.b d.h u.a geb jh kap str evtl ggf inkl
-d dª sra srta ud uds pág págs núm cap dra ee.uu aprox
-د أ م ص ج
-डॉ पं पृ श्री सं
-""".split()
 
 _TH = "฀-๿"
 _MARKS = r"\n\s*\n|[" + re.escape(END) + r"]+|[" + re.escape("".join(set("".join(CLOSERS)) | CLOSING)) + "]"
@@ -54,7 +54,11 @@ _EVENT = re.compile(_MARKS)
 _EVENT_TH = re.compile(_MARKS + rf"|(?<=[{_TH}0-9A-Za-z{re.escape(''.join(CLOSING))}])(?:[^\S\n]*\n?[^\S\n]+|\n)(?=\S)")
 _THAI = re.compile(f"[{_TH}]")
 _LETTER = re.compile(r"[^\W\d_]")
-_DIGITS = re.compile(r"[0-9]+")
+_BREAK = re.compile(r"\n\s*\n")
+_REST = r"[^\W\d_a-zß-öø-ÿ][^\s.,;:!?…।॥؟،؛\"”“»«)(\]\[]*"
+_WORD = re.compile(_REST)
+_OPENING = re.compile(rf"[^\w]*({_REST})")
+_INNER = re.compile(rf"(?<=[\w,;:–—-][ \n])({_REST})|(?<=[\u0600-\u06ff\u0900-\u0963][ \n])({_REST})")
 
 
 def _group(ch: str) -> str:
@@ -76,25 +80,46 @@ def _group(ch: str) -> str:
 GROUPS = "LRDTC"
 
 
-def _right(text: str, at: int, quoted: bool) -> tuple[str, int]:
-    """Kind of the token that begins at ``at``: its script and a number below RIGHT."""
+def _right(text: str, at: int, quoted: bool, steps: np.ndarray | None = None) -> tuple[str, int]:
+    """Kind of the token that begins at ``at``: its script and a number below RIGHT; ``steps`` are those of :func:`word_steps`."""
     ch = text[at]
     if ch in "¿¡" and at + 1 < len(text):
-        ch = text[at + 1]
+        at += 1
+        ch = text[at]
     if ch.isdigit():
         return "", 0
-    if ch.isupper():
-        return "L", 1
     if ch.islower():
         return "L", 2
+    if ch.isupper():
+        return "L", 1 if text[at + 1 : at + 2] == "." else CAPITAL + _step(text, at, steps)
     if ch.isalpha() or ord(ch) >= 0x900 and not (ch in CLOSERS or ch in CLOSING):
         g = _group(ch)
-        return g, (6 + ord(ch) % 58 if quoted else 3)
+        if quoted:
+            return g, 6 + ord(ch) % 58
+        return g, CASELESS + _step(text, at, steps) if g in "RD" else 3
     if ch in CLOSERS:
         return "", 4
     return "", 5
 
 
+_STEP_OF: dict[str, int] = {}
+
+
+def word_bucket(word: str) -> int:
+    """The number of a word in the table of steps."""
+    got = _STEP_OF.get(word)
+    if got is None:
+        if len(_STEP_OF) > 300_000:
+            _STEP_OF.clear()
+        got = _STEP_OF[word] = zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
+    return got
+
+
+def _step(text: str, at: int, steps: np.ndarray | None) -> int:
+    m = _WORD.match(text, at)
+    return int(steps[word_bucket(m.group())]) if m and steps is not None else STEPS // 2
+
+
 @dataclass
 class Paragraph:
     """A paragraph's place, its gaps, and what ends it."""
@@ -119,9 +144,10 @@ def _left(text: str, lo: int, at: int, mark: str, g: str) -> str:
     k = _kind(mark)
     if k != ".":
         return g + k
-    lo = max(lo, at - 25)
-    j = max(text.rfind(" ", lo, at), text.rfind("\n", lo, at), text.rfind("\xa0", lo, at)) + 1 or lo
-    w = text[max(j, lo) : at].lstrip("([{\"“„«‘'’—–-/")
+    j = at
+    while j > lo and not text[j - 1].isspace():
+        j -= 1
+    w = text[j:at].lstrip("([{\"“„«‘'’—–-/")
     if not w:
         return g + "."
     if len(w) == 1 and w.isupper():
@@ -134,8 +160,27 @@ def _left(text: str, lo: int, at: int, mark: str, g: str) -> str:
     return g + "." + w.lower()
 
 
-def paragraphs(text: str) -> Iterator[Paragraph]:
-    """The paragraphs of a text with all gaps that may hold a boundary."""
+#: Shapes of left tokens in one script: no word, words of 1 to 5 and of more letters, and words with a full stop inside; each
+#: for words that are seen mostly without a full stop, sometimes, and as good as never.
+SHAPES = 24
+
+
+def shape(left: str) -> int:
+    """The number of a left token's script and length."""
+    g = max(0, GROUPS.find(left[0]))
+    w = left[2:] if left[1:2] == "." else ""
+    if not w or w in ("I", "#", ")"):
+        return g * 8
+    return g * 8 + (7 if "." in w else min(len(w), 6))
+
+
+def _shapes(length, bare, dotted):
+    """Shapes of left tokens of some script and length, seen so often without and with a full stop."""
+    return length // 8 * SHAPES + length % 8 * 3 + np.where(bare > dotted, 0, np.where(10 * bare > dotted, 1, 2))
+
+
+def paragraphs(text: str, steps: np.ndarray | None = None) -> Iterator[Paragraph]:
+    """The paragraphs of a text with all gaps that may hold a boundary; ``steps`` are those of :func:`word_steps`."""
     n = len(text)
     events = list((_EVENT_TH if _THAI.search(text) else _EVENT).finditer(text))
     at, i = 0, 0
@@ -156,9 +201,9 @@ def paragraphs(text: str) -> Iterator[Paragraph]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if a < b:
-            p = _scan(text, a, b, events[i:j])
+            p = _scan(text, a, b, events[i:j], None, steps)
             if p is None:
-                p = _scan(text, a, b, events[i:j], _unmatched(text, events[i:j]))
+                p = _scan(text, a, b, events[i:j], _unmatched(text, events[i:j]), steps)
             yield p
         at, i = (events[j].end(), j + 1) if j < len(events) else (n, j)
 
@@ -179,7 +224,7 @@ def _unmatched(text: str, events: list) -> set[int]:
     return {s for _, s in stack}
 
 
-def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None) -> Paragraph | None:
+def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None, steps: np.ndarray | None = None) -> Paragraph | None:
     """A paragraph's gaps; None if an opening mark stays open, unless the places of such marks are given."""
     p = Paragraph(a, b)
     stack: list[tuple[str, int]] = []  # closing marks awaited, and 0 within a sentence, 1 at its start, 2 after a colon
@@ -194,9 +239,10 @@ def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None)
         if ch.isspace():
             if not stack and not (gaps and gaps[-1][0] == s):
                 l, r = text[s - 1], text[t]
-                if l not in END and not (l in CLOSING and gaps and gaps[-1][4] == t):
-                    left = "T#" if l.isdigit() else "T" if _group(l) == "T" else "T)" if l in CLOSING else "Tx"
-                    gaps.append((s, left, left, (("T", 0) if r.isdigit() else _right(text, t, False)), t))
+                # a space next to a numeral parts no sentences
+                if l not in END and not l.isdigit() and not r.isdigit() and not (l in CLOSING and gaps and gaps[-1][4] == t):
+                    left = "T" if _group(l) == "T" else "T)" if l in CLOSING else "Tx"
+                    gaps.append((s, left, left, _right(text, t, False, steps), t))
                     fresh = t
             continue
         if ch in END:
@@ -245,7 +291,7 @@ def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None)
         word = text[mark_at - 1] if mark_at > a else c
         g = _group(word if word.isalpha() or ord(word) > 0x900 else c)
         g = g if g in GROUPS else "L"
-        r = _right(text, nxt, how >= 0)
+        r = _right(text, nxt, how >= 0, steps)
         if how < 0:
             left0 = left1 = _left(text, a, mark_at, mark, g)
         else:
@@ -272,8 +318,6 @@ def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None)
         p.last = "T"
     elif tail in CLOSING and _THAI.search(text, a, b):
         p.last = "T)"
-    elif tail.isdigit():
-        p.last = "T#"
     return p
 
 
@@ -282,11 +326,141 @@ def bucket(left: str) -> int:
     return zlib.crc32(left.encode()) & ((1 << LEFT_BITS) - 1)
 
 
-_COUNTS = pa.schema([("kind", pa.int8()), ("g", pa.int8()), ("l", pa.int32()), ("r", pa.int16()), ("n", pa.int64())])
+_WORDS = pa.schema([("g", pa.int8()), ("b", pa.int32()), ("start", pa.int64()), ("inside", pa.int64()), ("bare", pa.int64())])
 
 
-def count_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of one partition: gaps by (left, right), paragraph ends by left, paragraph starts by right."""
+_POWER, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_MIX = 0xD6E8FEB86659FD93
+#: Bytes of words (small letters and all that is no ASCII), and bytes behind words that have no full stop.
+_IN_WORD = np.array([97 <= x <= 122 or x >= 128 for x in range(256)])
+_BEHIND = np.array([x in b" \t\n,;:" for x in range(256)])
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[:1] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
+
+def bare_bucket(word: str) -> int:
+    """The number of a word in the table of words without a full stop."""
+    h = sum(b * pow(_POWER, i, 1 << 64) for i, b in enumerate(word.encode())) % (1 << 64)
+    return (h * _MIX) % (1 << 64) >> (64 - WORD_BITS)
+
+
+def bare_buckets(text: str) -> np.ndarray:
+    """The numbers of all words of a text, in small letters, that have white space, a comma, a colon or a semicolon behind them."""
+    b = np.frombuffer(text.lower().encode(), np.uint8)
+    if len(b) < 2:
+        return np.zeros(0, np.int64)
+    inside = _IN_WORD[b]
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    lo, hi = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    keep = hi < len(b)
+    lo, hi = lo[keep], hi[keep]
+    keep = _BEHIND[b[hi]]
+    lo, hi = lo[keep], hi[keep]
+    # sums of byte times power of its place, brought to the place 0
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(b * _powers(len(b), _POWER), out=total[1:])
+    h = (total[hi] - total[lo]) * _powers(len(b), _INVERSE)[lo]
+    return ((h * np.uint64(_MIX)) >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of one partition by script and word: at the start of a paragraph of sentences, and inside sentences behind a word; by other buckets and without script: with no full stop behind it."""
+    starts: Counter = Counter()
+    inside: Counter = Counter()
+    bare = np.zeros(1 << WORD_BITS, np.int64)
+
+    def flush():
+        rows: dict[tuple[int, int], list[int]] = {}
+        for k, c in enumerate((starts, inside)):
+            for w, n in c.items():
+                g = _group(w[0])
+                if w[0].isupper() or g in "RD":
+                    rows.setdefault((GROUPS.find(g), word_bucket(w)), [0, 0])[k] += n
+            c.clear()
+        cols = list(zip(*((*k, *v, 0) for k, v in rows.items()))) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _WORDS.types)], schema=_WORDS)
+
+    for batch in batches:
+        for part in slices([batch], 200):
+            now = part.column(0).to_pylist()
+            bare += np.bincount(bare_buckets("\n".join(now) + "\n"), minlength=1 << WORD_BITS)
+            for text in now:
+                for p in _BREAK.split(text):
+                    p = p.strip()
+                    if p and (p[-1] in END or p[-1] in CLOSING):
+                        m = _OPENING.match(p)
+                        if m:
+                            starts[m.group(1)] += 1
+                        inside.update(x or y for x, y in _INNER.findall(p))
+        if len(starts) + len(inside) > 300_000:
+            yield flush()
+    yield flush()
+    at = np.nonzero(bare)[0]
+    none = pa.array(np.zeros(len(at), np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1, np.int8)), pa.array(at.astype(np.int32)), none, none, pa.array(bare[at])], schema=_WORDS)
+
+
+@dataclass
+class Words:
+    """How words stand to the start of sentences: ``steps`` for each bucket of words, and P(step | start) and P(step | inside) by script.
+
+    Steps of one half are those of the logarithm of P(word | start) / P(word | inside), with what is unknown in the middle.
+    """
+
+    steps: np.ndarray
+    start: np.ndarray
+    inside: np.ndarray
+    bare: np.ndarray  # of each bucket the logarithm, to base 2, of how often its words stand without a full stop
+
+    @classmethod
+    def of(cls, b: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> Words:
+        """From counts of buckets: their script, or -1 for buckets of bare words, and how often they are at the start, inside, and bare."""
+        k = len(GROUPS)
+        bare = np.zeros(1 << WORD_BITS, np.int8)
+        bare[b[g < 0]] = np.ceil(np.log2(z[g < 0] + 1.0))
+        b, g, x, y = (c[g >= 0] for c in (b, g, x, y))
+        s, m = np.bincount(g, x, k) + 1.0, np.bincount(g, y, k) + 1.0
+        part = (s / (s + m))[g]
+
+        def step(x, y):
+            ratio = np.log((x + 3 * part) / (y + 3 * (1 - part))) - np.log(s / m)[g]
+            return np.clip(np.floor(2 * ratio + 0.5) + STEPS // 2, 0, STEPS - 1).astype(np.int8)
+
+        steps = np.full(1 << WORD_BITS, STEPS // 2, np.int8)
+        steps[b] = step(x, y)
+        # an occurrence is judged by the others alone
+        start, inside = np.full((k, STEPS), 0.05), np.full((k, STEPS), 0.05)
+        np.add.at(start, (g, step(np.maximum(x - 1, 0), y)), x)
+        np.add.at(inside, (g, step(x, np.maximum(y - 1, 0))), y)
+        return cls(steps, start / start.sum(1, keepdims=True), inside / inside.sum(1, keepdims=True), bare)
+
+
+def word_steps(t: DataFrame) -> Words:
+    """The words of (section_id, raw_text). Five numbers a bucket reach the driver, so the size of the table bounds it."""
+    sums = [F.sum(c).alias(c) for c in ("start", "inside", "bare")]
+    n = t.select("raw_text").mapInArrow(count_words, "g byte, b int, start long, inside long, bare long").groupBy("g", "b").agg(*sums)
+    # words of two scripts in one bucket are told apart no further
+    rows = n.groupBy("b", (F.col("g") < 0).alias("whole")).agg(F.max_by("g", F.col("start") + F.col("inside")).alias("g"), *sums).toArrow()
+    return Words.of(*(rows.column(k).to_numpy() for k in ("b", "g", "start", "inside", "bare")))
+
+
+_COUNTS = pa.schema([("kind", pa.int8()), ("s", pa.int8()), ("q", pa.int8()), ("l", pa.int32()), ("r", pa.int16()), ("n", pa.int64())])
+
+
+def _bare(left: str, words: Words) -> int:
+    return int(words.bare[bare_bucket(left[2:])]) if left[1:2] == "." and len(left) > 2 else 0
+
+
+def count_gaps(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[pa.RecordBatch]:
+    """Counts of one partition: gaps (kind 0) by left and right, paragraph ends (1) by left, paragraph starts (2) by right.
+
+    Beside a left stand its script and length, and how often it is bare; a right is a kind, plus RIGHT times its script.
+    """
+    steps = words.steps
     gaps: Counter = Counter()
     ends: Counter = Counter()
     starts: Counter = Counter()
@@ -294,117 +468,175 @@ def count_gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush():
         merged: Counter = Counter()
         for (l, (g, r)), n in gaps.items():
-            merged[0, GROUPS.find(l[0]), bucket(l), r] += n
+            merged[0, shape(l), _bare(l, words), bucket(l), max(0, GROUPS.find(g)) * RIGHT + r] += n
         for l, n in ends.items():
-            merged[1, GROUPS.find(l[0]), bucket(l), 0] += n
+            merged[1, shape(l), _bare(l, words), bucket(l), 0] += n
         for (g, r), n in starts.items():
-            merged[2, max(0, GROUPS.find(g)), 0, r] += n
+            merged[2, 0, 0, 0, max(0, GROUPS.find(g)) * RIGHT + r] += n
         gaps.clear(), ends.clear(), starts.clear()
-        cols = list(zip(*((*k, n) for k, n in merged.items()))) or [[]] * 5
+        cols = list(zip(*((*k, n) for k, n in merged.items()))) or [[]] * 6
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _COUNTS.types)], schema=_COUNTS)
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            for p in paragraphs(text):
+            for p in paragraphs(text, steps):
                 for _, left0, left1, r, _ in p.gaps:
                     gaps[left1, r] += 1
                 if p.last and p.gaps:  # titles and notices of one piece tell little about running text
                     ends[p.last] += 1
-                    g, r = _right(text, p.start, False)
+                    g, r = _right(text, p.start, False, steps)
                     starts[g or p.last[0], r] += 1
-                    if r == 3:
-                        starts[_right(text, p.start, True)] += 1
+                    if r == 3 or r >= CASELESS:
+                        starts[_right(text, p.start, True, steps)] += 1
         if len(gaps) + len(ends) > 500_000:
             yield flush()
     yield flush()
 
 
+#: Of each kind of right token its class: the steps of a class are told apart by words alone, not by the token before.
+_CLASS = np.array([CAPITAL if CAPITAL <= r < CASELESS else CASELESS if r >= CASELESS else r for r in range(RIGHT)])
+
+
 class Model:
     """Probabilities of the hidden-event model, fitted to counts.
 
-    ``e[l]`` is P(boundary | l), ``s[g, r]`` P(r | start of a sentence) in script g, and P(r | l, goes on) is what is
-    left of the counts of l when its boundaries are taken away, smoothed with ``m[g, r]``.
+    ``e[l]`` is P(boundary | l), ``s[g, r]`` P(r | start of a sentence) in script g, and P(r | l, goes on) the product of
+    the class of r among what follows l where no boundary is, smoothed with ``m[g, class]``, and P(r | class, inside).
     """
 
     GRID = np.array([0.003, 0.05, 0.2, 0.5, 0.8, 0.985])
-    PRIOR = np.array([0.06, 0.02, 0.02, 0.03, 0.07, 0.8])
-    PRIOR_KNOWN = np.array([0.9, 0.04, 0.02, 0.02, 0.01, 0.01])
+    PRIOR = np.array([0.12, 0.03, 0.03, 0.03, 0.09, 0.7])
+    BARE = np.array([2e-4, 1e-4, 1e-4, 1e-3, 1e-2, 1.0])
     PRIOR_SPLIT = np.array([0.4, 0.05, 0.05, 0.05, 0.05, 0.4])  # of a mark that joins as often as it ends
 
-    TRUST = 60
+    #: Tokens differ in how often their sentences come last in a paragraph, and words in what follows them: beyond so many
+    #: occurrences more of them tell nothing new. Marks are the same whatever word they follow.
+    TRUST_WORD, TRUST_MARK = 5, 60
 
-    def __init__(self, counts: list[tuple[int, int, int, int, int]], rounds: int = 6):
+    def __init__(self, counts: np.ndarray, words: Words, rounds: int = 8):
+        """``counts`` has the rows of :func:`count_gaps`: kind, script and length, bare, left, right, number."""
         size, k = 1 << LEFT_BITS, len(GROUPS)
-        rows = np.array([x for x in counts if x[0] == 0], dtype=np.int64).reshape(-1, 5)
-        end = np.zeros(size)
+        self.steps, self.words = words.steps, words
+        counts = np.asarray(counts, np.int64).reshape(-1, 6)
+        rows = counts[counts[:, 0] == 0]
+        ends = counts[counts[:, 0] == 1]
+        first = counts[counts[:, 0] == 2]
+        l, n = rows[:, 3], rows[:, 5]
+        g, r = rows[:, 4] // RIGHT, rows[:, 4] % RIGHT
+        end = np.bincount(ends[:, 3], ends[:, 5], size).astype(float)
         starts = np.full((k, RIGHT), 0.02)
-        for kind, g, l, r, n in counts:
-            if kind == 1:
-                end[l] += n
-            elif kind == 2:
-                starts[g, r] += n
-        g, l, r, n = (rows[:, i] for i in (1, 2, 3, 4))
-        g = np.maximum(g, 0)
-        tot = end.copy()
-        np.add.at(tot, l, n)
-        special: dict[int, np.ndarray] = {}  # tokens with a prior of their own
-        for x in GROUPS:
-            for mark in "!.~。।":
-                for c in CLOSING:
-                    for how in "SM":
-                        special[bucket(x + mark + c + how)] = self.PRIOR_SPLIT
-            for known in (*("." + w for w in ABBREVIATIONS), ".I", ".#", "~", "…", "#"):
-                special[bucket(x + known)] = self.PRIOR_KNOWN
-        s = starts / starts.sum(1, keepdims=True)
-        m = np.full((k, RIGHT), 1.0 / RIGHT)
-        of = np.zeros(size, dtype=np.int64)  # script of a left token
-        for kind, gg, ll, _, _ in counts:
-            if kind < 2:
-                of[ll] = max(gg, 0)
+        np.add.at(starts, (first[:, 4] // RIGHT, first[:, 4] % RIGHT), first[:, 5])
+        tot = end + np.bincount(l, n, size)
+        for lo in (CAPITAL, CASELESS):
+            starts[:, lo : lo + STEPS] = starts[:, lo : lo + STEPS].sum(1, keepdims=True) * words.start
+        s = self._share(starts)
+        # P(kind | class) inside sentences: seen for the steps, certain for the others
+        within = np.ones((k, RIGHT))
+        within[:, CAPITAL:CASELESS] = within[:, CASELESS:] = words.inside
+        of = np.zeros(size, dtype=np.int64)  # shape of a left token
+        for x in (rows, ends):
+            of[x[:, 3]] = _shapes(x[:, 1], 2.0 ** x[:, 2] - 1, tot[x[:, 3]])
+        seen = np.unique(np.concatenate([l, ends[:, 3]])).astype(np.int64)
+        script = of // SHAPES
         # share of boundaries that end a paragraph, by script: that of the token in the middle, weighted by occurrences
-        rho = np.clip((np.bincount(of, end, k) + 1) / (np.bincount(of, tot, k) + 4), 0.02, 0.9)
+        rho = np.clip((np.bincount(script, end, k) + 1) / (np.bincount(script, tot, k) + 4), 0.02, 0.9)
         for x in range(k):
-            own = np.nonzero((of == x) & (tot >= 10))[0]
+            own = np.nonzero((script == x) & (tot >= 10))[0]
             if tot[own].sum() >= 50:
                 share = end[own] / tot[own]
                 by = np.argsort(share)
                 rho[x] = np.clip(share[by][np.searchsorted(np.cumsum(tot[own][by]), tot[own].sum() / 2)], 0.02, 0.9)
-        seen = np.unique(np.concatenate([l, np.nonzero(end)[0]])).astype(np.int64)
+        split = {bucket(x + mark + c + how) for x in GROUPS for mark in "!.~。।" for c in CLOSING for how in "SM"} | {bucket(x + mark) for x in GROUPS for mark in (".#", ".I", "~")}
+        is_split = np.array([x in split for x in seen], bool)
+        # short words that are never seen without a full stop may well be abbreviations, those mostly seen without one are none
+        base = np.tile(3 * self.PRIOR, (k * SHAPES, 1))
+        base[[x for x in range(k * SHAPES) if x % 3 == 2 and x % SHAPES // 3 in (1, 2, 3, 4, 7)]] = self.PRIOR_SPLIT
+        base[[x for x in range(k * SHAPES) if x % 3 == 0 and x % SHAPES >= 3]] = self.BARE
+        prior = base / base.sum(1, keepdims=True)
+        word = of % SHAPES >= 3
+        weight = np.minimum(1.0, self.TRUST_WORD / np.maximum(tot, 1))
+        weight_end = np.minimum(1.0, np.where(word, self.TRUST_WORD, self.TRUST_MARK) / np.maximum(tot, 1))
+        # a script in which words with a full stop end no paragraphs has another mark for the ends of sentences
+        stopped = np.zeros((k, len(self.GRID)))
+        for x in range(k):
+            own = (script == x) & word & (tot > 0)
+            t, z = tot[own].sum(), end[own].sum()
+            p = np.minimum(rho[x] * self.GRID, 0.999)
+            of_all = min(1.0, self.TRUST_MARK / max(t, 1)) * (z * np.log(p) + (t - z) * np.log1p(-p))
+            stopped[x] = np.minimum(of_all - of_all[0], 0)
+        at = np.searchsorted(seen, l)  # of a row its token's place
+        group, cell = np.unique(l * RIGHT + _CLASS[r], return_inverse=True)  # (token, class)
+        of_group = group // RIGHT
+        # what goes on behind a token is known well only if it is more than a small part of what stands there
+        few = 2 + 0.1 * tot
+        m = np.full((k, 2, RIGHT), 1.0 / RIGHT)
+        after_word = word.astype(np.int64)
         e = np.full(size, float(self.PRIOR @ self.GRID))
-        for x, own in special.items():
-            e[x] = own @ self.GRID
-        prior = np.log([special.get(int(x), self.PRIOR) for x in seen]).reshape(-1, len(self.GRID))
-        # tokens differ in how often their sentences come last, so an occurrence beyond the first ones tells less
-        weight = np.minimum(1.0, self.TRUST / np.maximum(tot, 1))
+        # at first what goes on is taken to be what is beyond the starts of sentences
+        gap_n = np.bincount(l, n, size)
+        rest = np.maximum(n - gap_n[l] * 0.8 * s[g, r], 0.1 * n)
+        log_prior = np.zeros((len(seen), len(self.GRID)))
         for _ in range(rounds):
-            q = np.minimum(rho[of[seen], None] * self.GRID, 0.999)
+            rest_l = np.bincount(l, rest, size)
+            rest_c = np.bincount(cell, rest, len(group))
+            on_c = (rest_c + few[of_group] * m[script[of_group], after_word[of_group], group % RIGHT]) / (rest_l[of_group] + few[of_group])
+            on = on_c[cell] * within[g, r]
+            log_prior[:] = np.log(prior[of[seen]])
+            log_prior[is_split] = np.log(self.PRIOR_SPLIT)
+            log_prior[word[seen]] += stopped[script[seen]][word[seen]]
             # an occurrence that ends a paragraph is seen to be a boundary; among those that don't, boundaries are rarer
-            ll = prior + (weight * end)[seen, None] * np.log(q) + (weight * (tot - end))[seen, None] * np.log1p(-q)
+            ll = log_prior.copy()
+            for q, x in enumerate(self.GRID):
+                p = np.minimum(rho[script[seen]] * x, 0.999)
+                ll[:, q] += weight_end[seen] * (end[seen] * np.log(p) + (tot - end)[seen] * np.log1p(-p))
+                i = x * (1 - rho[g]) / (x * (1 - rho[g]) + 1 - x)
+                ll[:, q] += np.bincount(at, weight[l] * n * np.log(i * s[g, r] + (1 - i) * on), len(seen))
             w = np.exp(ll - ll.max(1, keepdims=True))
-            e[seen] = w @ self.GRID / w.sum(1)
-            # boundaries expected at gaps of l, and what r has beyond them
-            inner = e[l] * (1 - rho[g]) / np.maximum(1e-9, e[l] * (1 - rho[g]) + 1 - e[l])
-            gap_n = np.zeros(size)
-            np.add.at(gap_n, l, n)
-            rest = np.maximum(n - gap_n[l] * inner * s[g, r], 0.0)
-            rest_l = np.zeros(size)
-            np.add.at(rest_l, l, rest)
-            on = (rest + 2 * m[g, r]) / (rest_l[l] + 2)
-            pb, pn = inner * s[g, r], (1 - inner) * on
+            w /= w.sum(1, keepdims=True)
+            e[seen] = w @ self.GRID
+            # the shapes' chances are those of their tokens that are no rarities
+            often = (tot[seen] >= 5) & ~is_split
+            held = np.zeros_like(prior)
+            np.add.at(held, of[seen][often], w[often])
+            prior = (held + base) / (held.sum(1, keepdims=True) + base.sum(1, keepdims=True))
+            i = e[l] * (1 - rho[g]) / np.maximum(1e-9, e[l] * (1 - rho[g]) + 1 - e[l])
+            pb, pn = i * s[g, r], (1 - i) * on
             p = pb / np.maximum(pb + pn, 1e-300)
-            m2 = np.full((k, RIGHT), 0.02)
-            np.add.at(m2, (g, r), n * (1 - p))
-            m = m2 / m2.sum(1, keepdims=True)
-        self.s, self.m, self.rho = s, m, rho
-        self.e = e.astype(np.float32)
-        order = np.lexsort((r, l)) if len(rows) else np.zeros(0, dtype=np.int64)
-        self.keys = (l[order] * RIGHT + r[order]).astype(np.int64)
-        self.on = (on[order] if len(rows) else np.zeros(0)).astype(np.float32)
-        self.rest = np.zeros(size, dtype=np.float32)
-        if len(rows):
-            self.rest[:] = rest_l
+            rest = n * (1 - p)
+            more = np.full((k, 2, RIGHT), 0.02)
+            np.add.at(more, (script[l], after_word[l], _CLASS[r]), rest)
+            m = more / more.sum(2, keepdims=True)
+            # sentences inside paragraphs start as paragraphs do, but for those that follow a quotation
+            both = starts.copy()
+            np.add.at(both, (g, r), n * p)
+            s = self._share(both)
+        self.s, self.m, self.rho, self.within = s, m, rho, within
+        self.e = np.full(size, np.nan, np.float32)
+        self.e[seen] = e[seen]
+        self.shaped = self._shaped(prior, stopped)
+        self.keys, self.on = group.astype(np.int64), on_c.astype(np.float32) if len(rows) else np.zeros(0, np.float32)
+        self.rest, self.few = rest_l.astype(np.float32), few.astype(np.float32)
         self._known: dict = {}
 
+    @classmethod
+    def _shaped(cls, prior: np.ndarray, stopped: np.ndarray) -> np.ndarray:
+        """P(boundary) of tokens of which only the shape is known."""
+        w = prior.copy()
+        word = np.arange(len(w)) % SHAPES >= 3
+        w[word] *= np.exp(np.repeat(stopped, SHAPES, 0)[word])
+        return w @ cls.GRID / w.sum(1)
+
+    @staticmethod
+    def _share(starts: np.ndarray) -> np.ndarray:
+        """Counts of starts as shares, apart for what follows a quotation and what doesn't."""
+        out = starts.copy()
+        after = out[:, 6:CAPITAL]
+        rest = out.sum(1, keepdims=True) - after.sum(1, keepdims=True)
+        out[:, 6:CAPITAL] = after / after.sum(1, keepdims=True)
+        out[:, :6] /= rest
+        out[:, CAPITAL:] /= rest
+        return out
+
     def scores(self, left: str, right: tuple[str, int]) -> tuple[float, float]:
         """Weights of a boundary and of none in a gap."""
         key = (left, right)
@@ -412,12 +644,16 @@ class Model:
         if got is None:
             if len(self._known) > 200_000:
                 self._known.clear()
-            b, g, r = bucket(left), max(0, GROUPS.find(right[0])), right[1]
-            k = b * RIGHT + r
+            b, g, r = bucket(left), max(0, GROUPS.find(right[0] or left[0])), right[1]
+            c = int(_CLASS[r])
+            k = b * RIGHT + c
             i = int(np.searchsorted(self.keys, k))
-            on = float(self.on[i]) if i < len(self.keys) and self.keys[i] == k else 2 * float(self.m[g, r]) / (float(self.rest[b]) + 2)
+            on = float(self.on[i]) if i < len(self.keys) and self.keys[i] == k else float(self.few[b] * self.m[max(0, GROUPS.find(left[0])), int(shape(left) % 8 > 0), c] / (self.rest[b] + self.few[b]))
+            on *= float(self.within[g, r])
             e = float(self.e[b])
-            rho = float(self.rho[max(0, GROUPS.find(left[0]))])
+            if math.isnan(e):
+                e = float(self.shaped[_shapes(shape(left), 2.0 ** _bare(left, self.words) - 1, 0)])
+            rho = float(self.rho[g])
             inner = e * (1 - rho) / max(1e-9, e * (1 - rho) + 1 - e)
             got = self._known[key] = (max(inner * float(self.s[g, r]), 1e-12), max((1 - inner) * on, 1e-12))
         return got
@@ -450,7 +686,7 @@ class Model:
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Places of the sentences of a text; pieces without a letter are left out."""
         out = []
-        for p in paragraphs(text):
+        for p in paragraphs(text, self.steps):
             at = p.start
             if p.gaps:
                 for (end, _, _, _, nxt), q in zip(p.gaps, self.posteriors(p)):
@@ -464,11 +700,19 @@ class Model:
 
 
 def fit(sections: DataFrame) -> Model:
-    """The model of all texts. What reaches the driver is bounded by the fixed numbers of buckets."""
-    ship(sections.sparkSession)
-    counts = texts(sections).select("raw_text").mapInArrow(count_gaps, "kind byte, g byte, l int, r short, n long")
-    rows = counts.groupBy("kind", "g", "l", "r").agg(F.sum("n").alias("n")).toPandas()
-    return Model(list(rows.itertuples(index=False, name=None)))
+    """The model of all texts. What reaches the driver is bounded by the table of words and by MOST_LEFTS."""
+    spark = sections.sparkSession
+    ship(spark)
+    t = texts(sections)
+    words = word_steps(t)
+    shared = spark.sparkContext.broadcast(words)
+    counts = t.select("raw_text").mapInArrow(lambda batches: count_gaps(batches, shared.value), "kind byte, s byte, q byte, l int, r short, n long")
+    counts = cut(counts.groupBy("kind", "s", "q", "l", "r").agg(F.sum("n").alias("n")))
+    lefts = counts.where("kind < 2").groupBy("l").agg(F.sum("n").alias("n"))
+    if lefts.count() > MOST_LEFTS:
+        counts = counts.join(lefts.orderBy(F.desc("n"), "l").limit(MOST_LEFTS).select("l"), "l", "left_semi").unionByName(counts.where("kind = 2"))
+    rows = counts.select("kind", "s", "q", "l", "r", "n").toArrow()
+    return Model(np.column_stack([rows.column(c).to_numpy() for c in rows.column_names]) if rows.num_rows else np.zeros((0, 6), np.int64), words)
 
 
 def split_sections(t: DataFrame, model: Model) -> DataFrame:
