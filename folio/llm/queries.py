@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folio.llm import boilerplate, mixing, neardup, packing, scans, sentences, sizes, spam, splitting
+from folio.llm import boilerplate, mixing, neardup, packing, scans, sentences, sizes, spam, splitting, unmarked
 from folio.session import table
 
 
@@ -28,8 +28,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_all(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of every section."""
-    return sentences.sentences(table(spark, d, "sections"))
+    """Sentences of every section, those of text without end marks as well."""
+    s = table(spark, d, "sections")
+    model = sentences.fit(s)
+    return sentences.sentences(s, model=model, unmarked=unmarked.fit(s, model))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -54,6 +54,7 @@ _EVENT = re.compile(_MARKS)
 _EVENT_TH = re.compile(_MARKS + rf"|(?<=[{_TH}0-9A-Za-z{re.escape(''.join(CLOSING))}])(?:[^\S\n]*\n?[^\S\n]+|\n)(?=\S)")
 _THAI = re.compile(f"[{_TH}]")
 _LETTER = re.compile(r"[^\W\d_]")
+_ENDS = re.compile(f"[{re.escape(END)}]")
 _BREAK = re.compile(r"\n\s*\n")
 _REST = r"[^\W\d_a-zß-öø-ÿ][^\s.,;:!?…।॥؟،؛\"”“»«)(\]\[]*"
 _WORD = re.compile(_REST)
@@ -161,7 +162,7 @@ def _left(text: str, lo: int, at: int, mark: str, g: str) -> str:
 
 
 #: Shapes of left tokens in one script: no word, words of 1 to 5 and of more letters, and words with a full stop inside; each
-#: for words that are seen mostly without a full stop, sometimes, and as good as never.
+#: for words that are seen often without a full stop (a twentieth as often as with one), sometimes, and as good as never.
 SHAPES = 24
 
 
@@ -176,7 +177,7 @@ def shape(left: str) -> int:
 
 def _shapes(length, bare, dotted):
     """Shapes of left tokens of some script and length, seen so often without and with a full stop."""
-    return length // 8 * SHAPES + length % 8 * 3 + np.where(bare > dotted, 0, np.where(10 * bare > dotted, 1, 2))
+    return length // 8 * SHAPES + length % 8 * 3 + np.where((20 * bare > dotted) & (bare > 1), 0, np.where(200 * bare > dotted, 1, 2))
 
 
 def paragraphs(text: str, steps: np.ndarray | None = None) -> Iterator[Paragraph]:
@@ -290,7 +291,8 @@ def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None,
             continue
         word = text[mark_at - 1] if mark_at > a else c
         g = _group(word if word.isalpha() or ord(word) > 0x900 else c)
-        g = g if g in GROUPS else "L"
+        if mark[0] > "\u0600" and mark[0] != "…":  # a mark of one script only
+            g = _group(mark[0])
         r = _right(text, nxt, how >= 0, steps)
         if how < 0:
             left0 = left1 = _left(text, a, mark_at, mark, g)
@@ -309,7 +311,7 @@ def _scan(text: str, a: int, b: int, events: list, skip: set[int] | None = None,
         j = b
         while j > a and text[j - 1] in END:
             j -= 1
-        w = text[j - 1] if j > a else "x"
+        w = text[j - 1] if j > a and not ("\u0600" < text[j] != "…") else text[j]
         p.last = _left(text, a, j, text[j:b], _group(w))
     elif tail in CLOSING and mark_end == b:
         g = _group(text[mark_at - 1]) if mark_at > a else "L"
@@ -436,7 +438,9 @@ class Words:
         start, inside = np.full((k, STEPS), 0.05), np.full((k, STEPS), 0.05)
         np.add.at(start, (g, step(np.maximum(x - 1, 0), y)), x)
         np.add.at(inside, (g, step(x, np.maximum(y - 1, 0))), y)
-        return cls(steps, start / start.sum(1, keepdims=True), inside / inside.sum(1, keepdims=True), bare)
+        start, inside = start / start.sum(1, keepdims=True), inside / inside.sum(1, keepdims=True)
+        # a word known from inside sentences may open one all the same
+        return cls(steps, 0.95 * start + 0.05 * inside, inside, bare)
 
 
 def word_steps(t: DataFrame) -> Words:
@@ -510,8 +514,8 @@ class Model:
     PRIOR_SPLIT = np.array([0.4, 0.05, 0.05, 0.05, 0.05, 0.4])  # of a mark that joins as often as it ends
 
     #: Tokens differ in how often their sentences come last in a paragraph, and words in what follows them: beyond so many
-    #: occurrences more of them tell nothing new. Marks are the same whatever word they follow.
-    TRUST_WORD, TRUST_MARK = 5, 60
+    #: occurrences more of them tell nothing new, least of plain words, which notices repeat. Marks are the same whatever word they follow.
+    TRUST_WORD, TRUST_SHORT, TRUST_MARK, TRUST_SCRIPT = 3, 12, 60, 240
 
     def __init__(self, counts: np.ndarray, words: Words, rounds: int = 8):
         """``counts`` has the rows of :func:`count_gaps`: kind, script and length, bare, left, right, number."""
@@ -548,13 +552,14 @@ class Model:
                 rho[x] = np.clip(share[by][np.searchsorted(np.cumsum(tot[own][by]), tot[own].sum() / 2)], 0.02, 0.9)
         split = {bucket(x + mark + c + how) for x in GROUPS for mark in "!.~。।" for c in CLOSING for how in "SM"} | {bucket(x + mark) for x in GROUPS for mark in (".#", ".I", "~")}
         is_split = np.array([x in split for x in seen], bool)
-        # short words that are never seen without a full stop may well be abbreviations, those mostly seen without one are none
+        # short words that are never seen without a full stop may well be abbreviations, longer ones often seen without one are none
         base = np.tile(3 * self.PRIOR, (k * SHAPES, 1))
         base[[x for x in range(k * SHAPES) if x % 3 == 2 and x % SHAPES // 3 in (1, 2, 3, 4, 7)]] = self.PRIOR_SPLIT
-        base[[x for x in range(k * SHAPES) if x % 3 == 0 and x % SHAPES >= 3]] = self.BARE
+        plain = [x for x in range(k * SHAPES) if x % 3 == 0 and x % SHAPES >= 6]
+        base[plain] = self.BARE
         prior = base / base.sum(1, keepdims=True)
         word = of % SHAPES >= 3
-        weight = np.minimum(1.0, self.TRUST_WORD / np.maximum(tot, 1))
+        weight = np.minimum(1.0, np.where(word & (of % 3 == 2), self.TRUST_SHORT, self.TRUST_WORD) / np.maximum(tot, 1))
         weight_end = np.minimum(1.0, np.where(word, self.TRUST_WORD, self.TRUST_MARK) / np.maximum(tot, 1))
         # a script in which words with a full stop end no paragraphs has another mark for the ends of sentences
         stopped = np.zeros((k, len(self.GRID)))
@@ -562,7 +567,7 @@ class Model:
             own = (script == x) & word & (tot > 0)
             t, z = tot[own].sum(), end[own].sum()
             p = np.minimum(rho[x] * self.GRID, 0.999)
-            of_all = min(1.0, self.TRUST_MARK / max(t, 1)) * (z * np.log(p) + (t - z) * np.log1p(-p))
+            of_all = min(1.0, self.TRUST_SCRIPT / max(t, 1)) * (z * np.log(p) + (t - z) * np.log1p(-p))
             stopped[x] = np.minimum(of_all - of_all[0], 0)
         at = np.searchsorted(seen, l)  # of a row its token's place
         group, cell = np.unique(l * RIGHT + _CLASS[r], return_inverse=True)  # (token, class)
@@ -598,6 +603,7 @@ class Model:
             often = (tot[seen] >= 5) & ~is_split
             held = np.zeros_like(prior)
             np.add.at(held, of[seen][often], w[often])
+            held[plain] = 0
             prior = (held + base) / (held.sum(1, keepdims=True) + base.sum(1, keepdims=True))
             i = e[l] * (1 - rho[g]) / np.maximum(1e-9, e[l] * (1 - rho[g]) + 1 - e[l])
             pb, pn = i * s[g, r], (1 - i) * on
@@ -683,11 +689,17 @@ class Model:
             back0, back1 = back0 / z, back1 / z
         return out
 
-    def spans(self, text: str) -> list[tuple[int, int]]:
-        """Places of the sentences of a text; pieces without a letter are left out."""
+    def spans(self, text: str, unmarked=None) -> list[tuple[int, int]]:
+        """Places of the sentences of a text; pieces without a letter are left out.
+
+        A paragraph without any end mark is one sentence, or what ``unmarked`` cuts it into: the model of :mod:`folio.llm.unmarked`.
+        """
         out = []
         for p in paragraphs(text, self.steps):
             at = p.start
+            if unmarked is not None and not p.gaps and not _ENDS.search(text, p.start, p.end):
+                out += [x for x in unmarked.cut(text, p.start, p.end) if _LETTER.search(text, *x)]
+                continue
             if p.gaps:
                 for (end, _, _, _, nxt), q in zip(p.gaps, self.posteriors(p)):
                     if q > 0.5:
@@ -715,16 +727,16 @@ def fit(sections: DataFrame) -> Model:
     return Model(np.column_stack([rows.column(c).to_numpy() for c in rows.column_names]) if rows.num_rows else np.zeros((0, 6), np.int64), words)
 
 
-def split_sections(t: DataFrame, model: Model) -> DataFrame:
+def split_sections(t: DataFrame, model: Model, unmarked=None) -> DataFrame:
     """(section_id, starts, ends) of each row of (section_id, raw_text)."""
-    shared = t.sparkSession.sparkContext.broadcast(model)
+    shared = t.sparkSession.sparkContext.broadcast((model, unmarked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, other = shared.value
         for batch in batches:
             starts, ends, offsets = [], [], [0]
             for text in batch.column(1).to_pylist():
-                spans = m.spans(text)
+                spans = m.spans(text, other)
                 starts += [x[0] for x in spans]
                 ends += [x[1] for x in spans]
                 offsets.append(len(starts))
@@ -734,14 +746,15 @@ def split_sections(t: DataFrame, model: Model) -> DataFrame:
     return t.select("section_id", "raw_text").mapInArrow(run, "section_id string, starts array<int>, ends array<int>")
 
 
-def sentences(sections: DataFrame, toc: DataFrame | None = None, model: Model | None = None) -> DataFrame:
+def sentences(sections: DataFrame, toc: DataFrame | None = None, model: Model | None = None, unmarked=None) -> DataFrame:
     """(section_id, sentence_no, start_char, end_char) of every section that is not blank.
 
     With ``toc`` only reflowable sections count. Null ids and null or blank texts give no rows, a section delivered again
-    counts once, and text without an end mark is one sentence a paragraph. Empty tables give an empty result.
+    counts once. A paragraph without an end mark is one sentence, unless ``unmarked``, a fitted model of
+    :mod:`folio.llm.unmarked`, cuts it between words. Empty tables give an empty result.
     """
     model = model or fit(sections)
-    cut_up = split_sections(texts(sections), model)
+    cut_up = split_sections(texts(sections), model, unmarked)
     if toc is not None:
         cut_up = cut_up.join(reflowable_ids(toc), "section_id", "left_semi")
     cut_up = cut_up.dropDuplicates(["section_id"])
