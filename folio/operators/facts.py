@@ -46,7 +46,8 @@ def prompts(chunks: DataFrame, tokens: Column) -> DataFrame:
 def lenient_json(content: Column, *lone: str, keys: tuple[str, ...] = ("facts", "result", "data", "items", "atomic_facts")) -> Column:
     """A reply as variant array: code fences cut, a lone object with one of the keys ``lone`` wrapped, an object's first list taken.
 
-    What can't be read, or holds no list, gives null. Python's names for the constants are read as JSON's.
+    What can be read but holds no list gives an empty one, what can't be read null. Python's names for the constants are
+    read as JSON's.
     """
     s = F.regexp_replace(F.regexp_replace(F.trim(content), r"(?is)\A\s*```(?:json)?\s*", ""), r"(?s)\s*```\s*\z", "")
     s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?<=[:\[,]\s{0,3})None(?=\s*[,\]}])", "null"), r"(?<=[:\[,]\s{0,3})True(?=\s*[,\]}])", "true"), r"(?<=[:\[,]\s{0,3})False(?=\s*[,\]}])", "false")
@@ -61,7 +62,7 @@ def lenient_json(content: Column, *lone: str, keys: tuple[str, ...] = ("facts",
     for k in keys:
         x = F.try_variant_get(v, f"$.{k}", "variant")
         out = out.when(F.schema_of_variant(x).startswith("ARRAY"), x)
-    return out
+    return out.when(v.isNotNull(), F.parse_json(F.lit("[]")))
 
 
 def read_facts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -69,15 +70,18 @@ def read_facts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Facts are (id, section_id, chunk_id, point, reason, rank, start_char, end_char, questions), spans moved by the
     chunk's start. Items that are no objects, come from the overlap or have an empty span are left out. ``failed`` are
-    the chunks whose reply can't be read. An empty list gives no facts.
+    the chunks whose reply can't be read. An empty list gives no facts, and so does a reply that is JSON without a list.
     """
     r = replies.withColumn("v", lenient_json(F.col("content"), "point", "rank"))
     failed = r.where("v IS NULL").select("chunk_id", "section_id")
     items = r.where("v IS NOT NULL").select("chunk_id", "section_id", "start_char", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("nth", "x"))
     items = items.where(F.schema_of_variant("x").startswith("OBJECT"))
     get = lambda k, t: F.try_variant_get("x", f"$.{k}", t)
-    items = items.where(~F.coalesce(get("from_overlap", "boolean"), F.lit(False)))
-    raw_rank = F.coalesce(get("rank", "string"), get("rank", "int").cast("string"))
+    # only the constant true marks a fact of the overlap, not a text or number that could be read as it
+    items = items.where(~F.coalesce((F.schema_of_variant(get("from_overlap", "variant")) == "BOOLEAN") & get("from_overlap", "boolean"), F.lit(False)))
+    # constants and numbers are ranks as whole numbers, names as they are
+    kind = F.schema_of_variant(get("rank", "variant"))
+    raw_rank = F.when(kind == "BOOLEAN", get("rank", "boolean").cast("int").cast("string")).when(kind == "STRING", get("rank", "string")).otherwise(get("rank", "double").cast("bigint").cast("string"))
     f = items.select("section_id", "chunk_id", "nth", F.coalesce(get("point", "string"), F.lit("")).alias("point"), F.coalesce(get("reason", "string"), F.lit("")).alias("reason"), tier(raw_rank).alias("rank"), (F.col("start_char") + get("start_char", "int")).alias("start_char"), (F.col("start_char") + get("end_char", "int")).alias("end_char"), F.coalesce(get("questions", "array<string>"), F.array().cast("array<string>")).alias("questions"))
     f = f.where(span_ok(F.col("start_char"), F.col("end_char")))
     return f.select(F.sha2(F.concat_ws("|", "chunk_id", F.col("nth").cast("string"), "point"), 256).alias("id"), *[c for c in f.columns if c != "nth"]), failed
@@ -88,10 +92,18 @@ def not_yet(chunks: DataFrame, facts: DataFrame) -> DataFrame:
     return chunks.join(facts.select(F.col("chunk_id").alias("id")), "id", "left_anti")
 
 
-def section_status(chunks: DataFrame, failed: DataFrame) -> DataFrame:
-    """(section_id, status): ERROR if a chunk failed, else DONE; sections without chunks aren't listed here."""
+def section_status(chunks: DataFrame, failed: DataFrame, answered: DataFrame | None = None) -> DataFrame:
+    """(section_id, status): ERROR if a chunk failed, else PENDING if one has no reply yet, else DONE.
+
+    ``answered`` has the chunks (chunk_id) that have a reply; without it all have. Sections without chunks aren't listed here.
+    """
     bad = failed.select("chunk_id").distinct().withColumn("bad", F.lit(1))
-    return chunks.select("section_id", F.col("id").alias("chunk_id")).join(bad, "chunk_id", "left").groupBy("section_id").agg(F.when(F.max("bad") == 1, "ERROR").otherwise("DONE").alias("status"))
+    c = chunks.select("section_id", F.col("id").alias("chunk_id")).join(bad, "chunk_id", "left")
+    if answered is not None:
+        c = c.join(answered.select("chunk_id").distinct().withColumn("has", F.lit(1)), "chunk_id", "left")
+    else:
+        c = c.withColumn("has", F.lit(1))
+    return c.groupBy("section_id").agg(F.when(F.max("bad") == 1, "ERROR").when(F.count("has") < F.count(F.lit(1)), "PENDING").otherwise("DONE").alias("status"))
 
 
 def of_section(facts: DataFrame, section_id: str) -> DataFrame:
@@ -123,6 +135,44 @@ def grounding(facts: DataFrame, sections: DataFrame) -> DataFrame:
     return facts.join(t, "section_id", "left").select("id", r.alias("rank"), weight(r, "documented").alias("weight"), F.when(known, F.col("end_char") - F.col("start_char")).alias("span_length"), F.when(known & (F.col("end_char") > F.col("start_char")), F.substring(F.col("t"), F.col("start_char") + 1, F.col("end_char") - F.col("start_char"))).alias("grounding"))
 
 
+HINT_SYSTEM = "You help a reader to recall a passage by open questions that neither answer nor quote it. Answer with a JSON array of strings."
+HINT_USER = "Ask {count} questions, from the most basic fact to the finest, that can each be understood alone.\n\nFacts, which the reader must not see:\n{facts}"
+MAP_SYSTEM = "You outline a long passage so that a reader knows what to expect. Be exact and leave out opinions."
+MAP_USER = "First give one line for each topic of the passage, then the three to seven facts a reader must keep, all in under 300 words.\n\n{text}"
+
+
+def _filled(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v)
+    return out
+
+
+def hint_prompts(facts: DataFrame, count: int = 5) -> DataFrame:
+    """(section_id, system, user): what a model is asked for ``count`` questions on the facts of each section, critical ones first.
+
+    Facts of one rank follow their time of creation and id; null points are left out, and sections without a point have no row.
+    """
+    f = facts.where("section_id IS NOT NULL AND point IS NOT NULL").select("section_id", tier(F.col("rank")).alias("r"), "created_at", "id", "point")
+    one = F.sort_array(F.collect_list(F.struct("r", F.col("created_at").isNull().alias("late"), "created_at", "id", "point")))
+    lines = F.array_join(F.transform(one, lambda x: F.concat(F.lit("  [Rank "), x.r.cast("string"), F.lit("] "), x.point)), "\n")
+    return f.groupBy("section_id").agg(lines.alias("facts")).select("section_id", F.lit(HINT_SYSTEM).alias("system"), _filled(HINT_USER, count=F.lit(str(count)), facts=F.col("facts")).alias("user"))
+
+
+def read_hints(replies: DataFrame, most: int = 5) -> DataFrame:
+    """(section_id, hint_no, hint) of replies (section_id, content) that are lists of texts; other items are left out, and at most ``most`` kept."""
+    r = replies.select("section_id", F.posexplode(F.try_variant_get(lenient_json(F.col("content"), keys=("questions", "hints", "result", "data", "items")), "$", "array<variant>")).alias("nth", "x"))
+    r = r.where(F.schema_of_variant("x") == "STRING").select("section_id", "nth", F.trim(F.try_variant_get("x", "$", "string")).alias("hint")).where("hint <> ''")
+    w = Window.partitionBy("section_id").orderBy("nth")
+    return r.withColumn("hint_no", F.row_number().over(w)).where(F.col("hint_no") <= most).select("section_id", "hint_no", "hint")
+
+
+def map_prompts(sections: DataFrame, tokens: Column, more_than: int = 4000) -> DataFrame:
+    """(section_id, system, user): what a model is asked for the outline of each section (id, raw_text) of more than so many tokens; null texts have none."""
+    s = sections.where(F.col("id").isNotNull() & F.col("raw_text").isNotNull()).dropDuplicates(["id"]).where(tokens > more_than)
+    return s.select(F.col("id").alias("section_id"), F.lit(MAP_SYSTEM).alias("system"), _filled(MAP_USER, text=F.col("raw_text")).alias("user"))
+
+
 def hints(facts: DataFrame, most: int = 5) -> DataFrame:
     """(section_id, hint_no, hint): the first question of each fact that has one, critical facts first, at most ``most`` a section.
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, functions as F
 from folio.functions.text import strip, word_count
 
 Counter = Callable[[Column], Column]
+#: Sizes of an array of arrays of texts, in the same form.
+ArrayCounter = Callable[[Column], Column]
 
 
 def clean(c: Column) -> Column:
@@ -35,10 +37,37 @@ def words13(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(word_count(c) * 1.3)).cast("int")
 
 
+def each(count: Counter) -> ArrayCounter:
+    """The counter of arrays of arrays of texts of a counter that is a JVM expression."""
+    return lambda texts: F.transform(texts, lambda x: F.transform(x, count))
+
+
+def arrays_counted_by(encode: Callable[[str], int]) -> ArrayCounter:
+    """A counter of arrays of arrays of texts from a tokenizer, in Arrow batches: at least 1 a text, null for null.
+
+    An array with a text that ``encode`` fails on counts as null, so that one text doesn't end the job.
+    """
+
+    def one(texts):
+        if texts is None:
+            return None
+        try:
+            return [[None if x is None else max(1, encode(x)) for x in some] for some in texts]
+        except Exception:
+            return None
+
+    def count(s: pd.Series) -> pd.Series:
+        return s.map(one)
+
+    count.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    # so called, it is computed once and not put into the array expressions that use its result, which can't call it
+    return F.pandas_udf(count, "array<array<int>>").asNondeterministic()
+
+
 def counted_by(encode: Callable[[str], int]) -> Counter:
     """A counter of whole columns from a tokenizer; ``encode`` gives the number of tokens of a text.
 
-    It is Python behind Arrow batches, which array expressions can't call: the chunker takes JVM expressions only.
+    It is Python behind Arrow batches, which array expressions can't call: :func:`arrays_counted_by` is for arrays.
     """
     def count(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else max(1, encode(x)))

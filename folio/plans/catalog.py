@@ -284,8 +284,9 @@ def _replies(spark, d):
     f = table(spark, d, "atomic_facts").where("chunk_id IS NOT NULL AND section_id IS NOT NULL")
     one = F.struct("point", F.col("rank").cast("string").alias("rank"), "reason", "start_char", "end_char", "questions", (F.length("id") % 7 == 0).alias("from_overlap"))
     g = f.groupBy("chunk_id").agg(F.min("section_id").alias("section_id"), F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("id", one.alias("o")))), lambda x: x.o)).alias("j"), F.min("id").alias("first"))
-    k = F.conv(F.substring("first", 1, 1), 16, 10).cast("int") % 5
-    content = F.when(k == 0, F.col("j")).when(k == 1, F.concat(F.lit('{"facts": '), "j", F.lit("}"))).when(k == 2, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(k == 3, F.concat(F.lit('{"note": None, "items": '), "j", F.lit("}"))).otherwise(F.lit("sorry, no facts"))
+    # some are JSON without a list, and some mark the overlap by a text, which marks nothing
+    k = F.conv(F.substring("first", 1, 2), 16, 10).cast("int") % 7
+    content = F.when(k == 0, F.col("j")).when(k == 1, F.concat(F.lit('{"facts": '), "j", F.lit("}"))).when(k == 2, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(k == 3, F.concat(F.lit('{"note": None, "items": '), "j", F.lit("}"))).when(k == 4, "sorry, no facts").when(k == 5, '{"note": "there are none"}').otherwise(F.replace("j", F.lit('"from_overlap":true'), F.lit('"from_overlap":"true"')))
     return g.select("chunk_id", "section_id", F.lit(0).alias("start_char"), content.alias("content"))
 
 
@@ -471,8 +472,8 @@ _SPAN = r"""sp AS (SELECT id AS doc_id, n // 30 + 1 AS page, n // 6 AS block, n
 _HEADS = "hd AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, line) AS INT) AS toc_order, title, CAST(greatest(page, 1) AS VARCHAR) AS href FROM (SELECT doc_id, page, line, t AS title FROM sp WHERE size >= 13 AND length(t) BETWEEN 3 AND 99 UNION ALL SELECT DISTINCT doc_id, 0, -1, 'Introduction' FROM sp))"
 _PAGES = """bl AS (SELECT doc_id, page, block, list_concat(coalesce(list(CASE WHEN size >= 20 THEN '# ' WHEN size >= 16 THEN '## ' ELSE '### ' END || t ORDER BY line) FILTER (WHERE size >= 13), []), CASE WHEN count(*) FILTER (WHERE size < 13) > 0 THEN [string_agg(t, ' ' ORDER BY line) FILTER (WHERE size < 13)] ELSE [] END) AS p FROM sp WHERE t <> '' GROUP BY doc_id, page, block),
 pg AS (SELECT doc_id, page, array_to_string(flatten(list(p ORDER BY block)), chr(10)||chr(10)) AS markdown FROM bl GROUP BY doc_id, page)"""
-_READ = """fr AS (SELECT * FROM atomic_facts WHERE chunk_id IS NOT NULL AND section_id IS NOT NULL), kc AS (SELECT chunk_id, min(section_id) AS section_id, CAST('0x' || substr(min(id), 1, 1) AS INT) % 5 AS k FROM fr GROUP BY chunk_id),
-rd AS (SELECT chunk_id, coalesce(point, '') AS point, coalesce(reason, '') AS reason, CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS rank, start_char, end_char, coalesce(len(questions), 0) AS n_questions FROM fr JOIN kc USING (chunk_id) WHERE k <> 4 AND length(id) % 7 <> 0 AND (start_char IS NULL OR end_char IS NULL OR end_char > start_char))"""
+_READ = """fr AS (SELECT * FROM atomic_facts WHERE chunk_id IS NOT NULL AND section_id IS NOT NULL), kc AS (SELECT chunk_id, min(section_id) AS section_id, CAST('0x' || substr(min(id), 1, 2) AS INT) % 7 AS k FROM fr GROUP BY chunk_id),
+rd AS (SELECT chunk_id, coalesce(point, '') AS point, coalesce(reason, '') AS reason, CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS rank, start_char, end_char, coalesce(len(questions), 0) AS n_questions FROM fr JOIN kc USING (chunk_id) WHERE k NOT IN (4, 5) AND (k = 6 OR length(id) % 7 <> 0) AND (start_char IS NULL OR end_char IS NULL OR end_char > start_char))"""
 
 SQL = {
     "section_profile": rf"""WITH m AS (SELECT DISTINCT book_id, section_id AS id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),

@@ -19,7 +19,45 @@ def test_lenient_replies(spark):
     df = spark.createDataFrame([(str(k), "s", 10, t) for k, t in enumerate(texts)], "chunk_id string, section_id string, start_char int, content string")
     good, bad = facts.read_facts(df)
     assert sorted((r.chunk_id, r.point, r["rank"]) for r in good.collect()) == [(str(k), "p", 1) for k in range(6)]
-    assert {r.chunk_id for r in bad.collect()} == {"6", "7", "10"}
+    # JSON without a list holds no facts, but can be read
+    assert {r.chunk_id for r in bad.collect()} == {"6", "10"}
+
+
+def test_overlap_and_ranks_as_constants(spark):
+    items = [{"point": f"p{k}", "from_overlap": x, "rank": r} for k, (x, r) in enumerate([(True, 1), ("true", 2.7), (1, True), (False, False), (None, "critical"), ("x", "2"), (False, None), (False, [1])])]
+    df = spark.createDataFrame([("c", "s", 0, json.dumps(items))], "chunk_id string, section_id string, start_char int, content string")
+    assert {r.point: r["rank"] for r in facts.read_facts(df)[0].collect()} == {"p1": 2, "p2": 1, "p3": 3, "p4": 1, "p5": 2, "p6": 3, "p7": 3}
+    df = spark.createDataFrame([(str(k), "s", 0, t) for k, t in enumerate(['{"a": 1}', "7", '"text"', "null", "{broken"])], "chunk_id string, section_id string, start_char int, content string")
+    good, bad = facts.read_facts(df)
+    assert good.count() == 0 and [r.chunk_id for r in bad.collect()] == ["4"]
+
+
+def test_status_of_sections_without_replies(spark):
+    c = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("c", "4"), ("c", "5")], "section_id string, id string")
+    failed = spark.createDataFrame([("4",)], "chunk_id string")
+    answered = spark.createDataFrame([("1",), ("3",), ("4",)], "chunk_id string")
+    assert dict(map(tuple, facts.section_status(c, failed, answered).collect())) == {"a": "PENDING", "b": "DONE", "c": "ERROR"}
+    assert dict(map(tuple, facts.section_status(c, failed).collect())) == {"a": "DONE", "b": "DONE", "c": "ERROR"}
+
+
+def test_generated_hints_and_maps(spark):
+    f = spark.createDataFrame([("2", None, "s", "late", 2), ("1", None, "s", "first", 1), ("3", None, "s", None, 1), ("4", None, None, "x", 1)], "id string, created_at timestamp, section_id string, point string, rank int")
+    (p,) = facts.hint_prompts(f, 3).collect()
+    assert p.section_id == "s" and "Ask 3 questions" in p.user and p.user.index("[Rank 1] first") < p.user.index("[Rank 2] late") and "None" not in p.user
+    r = spark.createDataFrame([("s", '```json\n["Why?", 7, " ", "How?", "Who?"]\n```'), ("t", "no"), ("u", '{"questions": ["One?"]}')], "section_id string, content string")
+    assert sorted(map(tuple, facts.read_hints(r, 2).collect())) == [("s", 1, "Why?"), ("s", 2, "How?"), ("u", 1, "One?")]
+    s = spark.createDataFrame([("a", "w " * 50), ("a", "w " * 50), ("b", "short"), ("c", None)], "id string, raw_text string")
+    (m,) = facts.map_prompts(s, F.size(F.split("raw_text", " ")), 20).collect()
+    assert m.section_id == "a" and m.user.endswith("w " * 50)
+
+
+def test_prompts_and_reads_by_key(spark):
+    c = spark.createDataFrame([("k", "s", 0, "[head]\nBody text.")], "id string, section_id string, start_char int, text string")
+    p = facts.prompts(c, F.lit(600)).first()
+    assert "at most 4 facts" in p.user and p.user.endswith("Body text.") and "[head]" not in p.user
+    f = spark.createDataFrame([("1", "s", "k"), ("2", "s", None), ("3", "t", "l")], "id string, section_id string, chunk_id string")
+    assert [r.id for r in facts.of_section(f, "s").orderBy("id").collect()] == ["1", "2"] and [r.id for r in facts.of_chunk(f, "k").collect()] == ["1"]
+    assert [r.id for r in facts.without_chunk(f, "k").orderBy("id").collect()] == ["2", "3"]
 
 
 def test_spans_are_moved(spark):

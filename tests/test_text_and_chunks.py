@@ -67,3 +67,39 @@ def test_clean_handles_unicode(spark):
 def test_exact_counter(spark):
     df = spark.createDataFrame([("a b c",), ("",)], "t string")
     assert [r.n for r in df.select(text.counted_by(lambda x: len(x.split()))("t").alias("n")).collect()] == [3, 1]
+
+
+def _words(x):
+    return len(x.split())
+
+
+def test_another_counter(spark):
+    # sizes, context and windows all follow the counter that is given, a JVM expression or a tokenizer alike
+    raw = "One two three four. Five six seven. Eight nine.\n\nTen eleven twelve thirteen fourteen fifteen sixteen seventeen. Eighteen."
+    df = spark.createDataFrame([("s", raw)], "section_id string, raw_text string")
+    for size, over, around in ((4, 0, 8), (7, 2, 10), (3, 1, 6)):
+        by_words = text.each(lambda c: F.greatest(F.lit(1), F.size(F.split(c, r"\s+"))))
+        a, b = (sorted(chunk.chunks(df, Settings(chunk_size=size, chunk_overlap=over, chunk_context=around), counts=c).drop("id").collect()) for c in (by_words, text.arrays_counted_by(lambda x: len(x.split()))))
+        assert a == b and all(_words(r.body) <= size for r in a)
+        assert all(_words(r.context_text) <= max(around, _words(r.text)) for r in a)
+    df = spark.createDataFrame([("s", "A b c d. E f g h. I j k l. M n o p. Q r s t.")], "section_id string, raw_text string")
+    got = chunk.chunks(df, Settings(chunk_size=4, chunk_overlap=0, chunk_context=12), counts=text.arrays_counted_by(lambda x: len(x.split()))).orderBy("chunk_index").collect()
+    assert got[2].context_text == "E f g h. I j k l. M n o p."
+
+
+def test_a_failing_counter_is_kept_to_its_section(spark):
+    def encode(x):
+        if "bad" in x:
+            raise ValueError(x)
+        return len(x)
+
+    df = spark.createDataFrame([("a", "Good one. Two."), ("b", "A bad one."), ("c", None), (None, "bad")], "section_id string, raw_text string")
+    count = text.arrays_counted_by(encode)
+    assert {r.section_id for r in chunk.chunks(df, counts=count).collect()} == {"a"}
+    assert [r.section_id for r in chunk.failed(df, count).collect()] == ["b"]
+
+
+def test_very_long_section(spark):
+    df = spark.createDataFrame([("s",)], "section_id string").select("section_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda k: F.concat(F.lit("Sentence number "), k.cast("string"), F.lit(" is here."))), " ").alias("raw_text"))
+    r = chunk.chunks(df).agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("w")).first()
+    assert r.w == 500_000 and r.n > 600
