@@ -1,10 +1,10 @@
 """Pages of repeated keywords, link lists and product tags, by rank-frequency curves.
 
-For each page the frequencies of its words are ranked. In SQL windows the curve log frequency against log rank gets a
-slope and a residual, and the share of words by rank a divergence from the mean curve of the prose of the same language
-and of comparable length, which pages of spam and copies have no part in. A page that is extreme in slope, residual or divergence is suspected. An
-exact check of its lines decides whether more than half of its characters are spam, suspected or not: spam can have the
-curve of prose.
+For each page the frequencies of its words and marks are ranked. In SQL windows the curve log frequency against log rank
+gets a slope and a residual, and the page a divergence from the prose of the same language and of comparable length: that of
+its shares by rank, plus that of its marks (ends of sentences, commas, line ends, bars ...), which lists have in other
+shares than prose. A page whose curve is extreme in none of the three is no spam. Of the others an exact check of their
+lines decides whether more than half of the characters are spam: indexes, verse and contents pages have extreme curves, too.
 """
 
 from __future__ import annotations
@@ -46,6 +46,9 @@ _ENDS = re.compile(f"[{re.escape(END)}][\"”“»«』」)）\\]'’]*$")
 _INNER = re.compile(f"[{re.escape(END)}][\"”“»«』」)）\\]'’]*(?:\\s|$)|[。！？।]")
 _COUNT = re.compile(r"\s\(\d+\)$")
 _THAI = re.compile(r"[฀-๿]")
+# Classes of marks on the curve, beside line ends, numbers, words and all other marks.
+MARKS = (END, ",;，；、،؛:：", "\n", "|·>»/*•~→—–-_=#")
+_CLASS_OF = {ch: k for k, chars in enumerate(MARKS) for ch in chars}
 
 
 def tokens(line: str) -> list[str]:
@@ -171,6 +174,20 @@ def page(text: str) -> tuple[Counter, float]:
     return +words, bad / total if total else 0.0
 
 
+def marks(words: Counter) -> list[float]:
+    """Shares of the classes of marks among the words and marks of a page: those of MARKS, other marks, numbers, words."""
+    n = [0] * (len(MARKS) + 3)
+    for w, k in words.items():
+        if len(w) == 1 and not w.isalnum():
+            n[_CLASS_OF.get(w, len(MARKS))] += k
+        elif w == "0":
+            n[-2] += k
+        else:
+            n[-1] += k
+    total = sum(n)
+    return [x / total for x in n]
+
+
 _SCRIPTS = {"kana": (0x3040, 0x3100), "han": (0x4E00, 0xA000), "th": (0xE00, 0xE80), "hi": (0x900, 0x980), "ar": (0x590, 0x780), "cy": (0x400, 0x530), "ko": (0xAC00, 0xD7B0)}
 #: Of each character 0 for no letter, else 1 for Latin and others and 2 ... for the scripts above.
 _CLASS = np.array([next((k for k, (lo, hi) in enumerate(_SCRIPTS.values(), 2) if lo <= o < hi), 1) if chr(o).isalpha() else 0 for o in range(0x10000)], np.uint8)
@@ -189,17 +206,17 @@ def _script(text: str) -> str:
 
 
 def page_statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, key, lang, size, share, curve) of each page with words.
+    """(doc_id, key, lang, size, share, curve, marks) of each page with words.
 
     ``key`` is shared by equal texts, ``lang`` is the declared language of text in Latin script and otherwise the script's, ``size`` the logarithm of the
-    number of words in steps of one half, ``curve`` the array of (frequency, number of words that have it).
+    number of words in steps of one half, ``curve`` the array of (frequency, number of words that have it), ``marks`` the shares of :func:`marks`.
     """
     ship(documents.sparkSession)
     curve = pa.list_(pa.struct([("f", pa.int32()), ("k", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, langs, sizes, shares, curves = [], [], [], [], [], []
+            ids, keys, langs, sizes, shares, curves, of_marks = [], [], [], [], [], [], []
             for i, key, lang, text in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 words, share = page(text)
                 n = words.total()
@@ -212,23 +229,24 @@ def page_statistics(documents: DataFrame) -> DataFrame:
                 sizes.append(int(2 * math.log(n)))
                 shares.append(share)
                 curves.append([{"f": f, "k": k} for f, k in Counter(words.values()).items()])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(shares, pa.float64()), pa.array(curves, curve)], names=["doc_id", "key", "lang", "size", "share", "curve"])
+                of_marks.append(marks(words))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(shares, pa.float64()), pa.array(curves, curve), pa.array(of_marks, pa.list_(pa.float64()))], names=["doc_id", "key", "lang", "size", "share", "curve", "marks"])
 
     d = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "lang", "text")
-    return d.mapInArrow(run, "doc_id bigint, key bigint, lang string, size int, share double, curve array<struct<f:int,k:int>>")
+    return d.mapInArrow(run, "doc_id bigint, key bigint, lang string, size int, share double, curve array<struct<f:int,k:int>>, marks array<double>")
 
 
 def curves(stats: DataFrame) -> DataFrame:
-    """(doc_id, key, lang, size, share, slope, residual, p0 ... p11) of each page, by windows over its rank-frequency curve.
+    """(doc_id, key, lang, size, share, slope, residual, p0 ... p11, m0 ... m6) of each page, by windows over its rank-frequency curve.
 
     All words of one frequency stand on the curve as one point, at the middle of their ranks and with their number as
-    weight. ``p`` are the shares of the page's words by rank, in octaves.
+    weight. ``p`` are the shares of the page's words by rank, in octaves, ``m`` those of its marks.
     """
-    at = stats.select("doc_id", "key", "lang", "size", "share", F.explode("curve").alias("c")).select("doc_id", "key", "lang", "size", "share", "c.f", "c.k")
+    at = stats.select("doc_id", "key", "lang", "size", "share", "marks", F.explode("curve").alias("c")).select("doc_id", "key", "lang", "size", "share", "marks", "c.f", "c.k")
     ranked = Window.partitionBy("doc_id").orderBy(F.desc("f"))
     at = at.withColumn("last", F.sum("k").over(ranked)).withColumn("rank", F.col("last") - (F.col("k") - 1) / 2)
     x, y, w = F.log("rank"), F.log("f"), F.col("k")
-    fit = at.groupBy("doc_id", "key", "lang", "size", "share").agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy"), F.sum(w * y * y).alias("yy"), F.sum(F.col("f") * w).alias("n"), F.collect_list(F.struct("last", "f", "k")).alias("points"))
+    fit = at.groupBy("doc_id", "key", "lang", "size", "share").agg(F.sum(w).alias("w"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"), F.sum(w * x * x).alias("xx"), F.sum(w * x * y).alias("xy"), F.sum(w * y * y).alias("yy"), F.sum(F.col("f") * w).alias("n"), F.collect_list(F.struct("last", "f", "k")).alias("points"), F.first("marks").alias("marks"))
     sxx, sxy, syy = (F.col(a) - F.col(b) * F.col(c) / F.col("w") for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
     slope = F.when(sxx > 1e-9, sxy / sxx).otherwise(0.0)
     fit = fit.withColumn("slope", slope).withColumn("residual", F.sqrt(F.greatest(F.lit(0.0), syy - F.col("slope") * sxy) / F.col("w")))
@@ -240,32 +258,53 @@ def curves(stats: DataFrame) -> DataFrame:
         inside = lambda p: F.greatest(F.lit(0), F.least(p.last, F.lit(hi)) - F.greatest(p.last - p.k, F.lit(lo)))
         return F.aggregate("points", F.lit(0.0), lambda a, p: a + inside(p) * p.f) / F.col("n")
 
-    return fit.select("doc_id", "key", "lang", "size", "share", "slope", "residual", *(share(j).alias(f"p{j}") for j in range(octaves)))
+    return fit.select("doc_id", "key", "lang", "size", "share", "slope", "residual", *(share(j).alias(f"p{j}") for j in range(octaves)), *(F.col("marks")[j].alias(f"m{j}") for j in range(len(MARKS) + 3)))
 
 
-def spam_pages(documents: DataFrame, z: float = 1.2, share: float = 0.5, least: int = 20) -> DataFrame:
-    """(doc_id, slope, residual, divergence, share, suspected) of the pages of spam.
+def measured(documents: DataFrame, share: float = 0.5, least: int = 20) -> DataFrame:
+    """(doc_id, lang, size, share, slope, residual, divergence, prose, q) of each page with words.
 
-    Slope, residual and divergence of a page are held against the median of the prose of its language and size, in units
-    of the median deviation; beyond ``z`` in one of them the page is suspected. Prose are the different texts of whose
-    characters no more than ``share`` are on lines of spam. Where there are fewer than ``least`` of them every page is
-    suspected. Pages of spam are those of whose characters more than ``share`` are on lines of spam; ``suspected`` only
-    tells whether their curves show it. Null ids, null and blank texts and texts without a word give no rows; equal texts are judged alike under each
-    of their ids; null and odd languages form groups of their own. An empty table gives an empty result.
+    ``prose`` is the number of different texts of the page's language and size of whose characters no more than ``share``
+    are on lines of spam, ``q`` their quartiles of the three measures, null where there are fewer than ``least``.
     """
     c = cut(curves(page_statistics(documents)))
-    p = [f"p{j}" for j in range(12)]
+    p, m = [f"p{j}" for j in range(12)], [f"m{j}" for j in range(len(MARKS) + 3)]
     prose = lambda pages: pages.where(F.col("share") <= share).dropDuplicates(["lang", "size", "key"]).groupBy("lang", "size")
-    mean = prose(c).agg(F.count(F.lit(1)).alias("pages"), *(F.avg(x).alias(f"m_{x}") for x in p))
-    c = c.join(mean, ["lang", "size"], "left").withColumn("pages", F.coalesce("pages", F.lit(0)))
-    kl = sum((F.when(F.col(x) > 0, F.col(x) * F.log((F.col(x) + 1e-4) / (F.col(f"m_{x}") + 1e-4))).otherwise(0.0) for x in p), F.lit(0.0))
-    c = cut(c.select("doc_id", "key", "lang", "size", "share", "pages", "slope", "residual", kl.alias("divergence")))
-    measures = ("slope", "residual", "divergence")
-    mid = prose(c).agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in measures))
+    mean = prose(c).agg(F.count(F.lit(1)).alias("prose"), *(F.avg(x).alias(f"mean_{x}") for x in p + m))
+    c = c.join(mean, ["lang", "size"], "left").withColumn("prose", F.coalesce("prose", F.lit(0)))
+    # what no prose has counts as if a small share of it had
+    kl = sum((F.when(F.col(x) > 0, F.col(x) * F.log((F.col(x) + least_share) / (F.col(f"mean_{x}") + least_share))).otherwise(0.0) for names, least_share in ((p, 1e-4), (m, 1e-3)) for x in names), F.lit(0.0))
+    c = cut(c.select("doc_id", "key", "lang", "size", "share", "prose", "slope", "residual", kl.alias("divergence")))
+    mid = prose(c).agg(F.struct(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in MEASURES)).alias("q"))
     c = c.join(mid, ["lang", "size"], "left")
-    extreme = F.lit(False)
-    for x in measures:
-        q = F.col(f"q_{x}")
-        extreme = extreme | (F.abs(F.col(x) - q[1]) > z * F.greatest((q[2] - q[0]) / 2, F.lit(1e-6)))
-    c = c.where(F.col("share") > share).withColumn("suspected", F.coalesce(extreme | (F.col("pages") < least), F.lit(True)))
-    return c.select("doc_id", "slope", "residual", "divergence", "share", "suspected").dropDuplicates(["doc_id"])
+    return c.select("doc_id", "lang", "size", "share", *MEASURES, "prose", F.when(F.col("prose") >= least, F.col("q")).alias("q")).dropDuplicates(["doc_id"])
+
+
+MEASURES = ("slope", "residual", "divergence")
+
+
+def extreme(z: float = 3.0):
+    """Whether a page of :func:`measured` is extreme: beyond ``z`` median deviations of prose in slope or residual, on either side, or in divergence, above.
+
+    Where there is too little prose to tell, every page is.
+    """
+    out = F.lit(False)
+    for x in MEASURES:
+        q = F.col(f"q.{x}")
+        off = (F.col(x) - q[1]) / F.greatest((q[2] - q[0]) / 2, F.lit(1e-6))
+        out = out | ((off if x == "divergence" else F.abs(off)) > z)
+    return F.coalesce(out, F.lit(True))
+
+
+def spam_pages(documents: DataFrame, z: float = 3.0, share: float = 0.5, least: int = 20) -> DataFrame:
+    """(doc_id, slope, residual, divergence, share) of the pages of spam.
+
+    Slope, residual and divergence of a page are held against the median of the prose of its language and size, in units
+    of the median deviation; only a page beyond ``z`` in one of them can be spam, and it is if more than ``share`` of its
+    characters are on lines of spam. Prose are the different texts of whose characters no more than ``share`` are. Where
+    there are fewer than ``least`` of them every page is extreme. Null ids, null and blank texts and texts without a word
+    give no rows; equal texts are judged alike under each of their ids; null and odd languages form groups of their own.
+    An empty table gives an empty result.
+    """
+    c = measured(documents, share, least)
+    return c.where(extreme(z) & (F.col("share") > share)).select("doc_id", *MEASURES, "share")

@@ -140,10 +140,25 @@ def test_spam_and_copies_are_most_of_their_group(spark):
     for rows in (few, much, several):
         d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         got = spam.spam_pages(d).collect()
-        assert {r.doc_id for r in got} == set(range(40)) and all(r.suspected for r in got)
-    # spam with the curve of prose is spam
-    got = spam.spam_pages(d, z=1e9).collect()
-    assert {r.doc_id for r in got} == set(range(40)) and not any(r.suspected for r in got)
+        assert {r.doc_id for r in got} == set(range(40))
+    # it is the curve that finds them: without extremes there is no spam, whatever the lines say
+    assert spam.spam_pages(d, z=1e9).count() == 0
+    # and the lines only decide among extremes
+    assert spam.measured(d).where(spam.extreme(0.0)).count() > 60 and spam.spam_pages(d, z=0.0).count() == 40
+
+
+def test_few_pages_are_extreme(spark, data):
+    d = table(spark, data.replace("sf0.001", "sf0.1"), "documents")
+    m = spam.measured(d).withColumn("extreme", spam.extreme()).cache()
+    plain, spammy = m.where("share <= 0.5"), m.where("share > 0.5")
+    assert plain.where("extreme").count() < 0.25 * plain.count()
+    assert spammy.where("extreme").count() > 0.99 * spammy.count() > 500
+
+
+def test_marks():
+    words, _ = spam.page("One two, three. | 12\nFour")
+    got = spam.marks(words)
+    assert abs(sum(got) - 1) < 1e-9 and got[0] == got[1] == got[2] == got[3] and got[-2] == got[0] and got[-1] == 4 * got[0]
 
 
 def test_rank_frequency_fit(spark):
