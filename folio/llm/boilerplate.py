@@ -43,8 +43,9 @@ def repeated_lines(sections: DataFrame, toc: DataFrame, min_sections: int = 5, m
 
     Null ids, null and blank texts, lines without a letter and toc rows without a section give no rows. A section
     delivered again, or named by several toc rows of a book, counts once. Empty tables give an empty result.
-    Counting is pre-aggregated by (book, line), so that a book with a third of all rows costs no more than others. A kept
-    line has a share of at least ``min_share``, so a book keeps at most 1 / ``min_share`` times the mean number of
+    Which lines go is by this definition a matter of their own support; the blocks tell which of them stand together
+    (:func:`blocks`). Counting is pre-aggregated by (book, line), and only lines with enough support are brought together
+    by book. A kept line has a share of at least ``min_share``, so a book keeps at most 1 / ``min_share`` times the mean number of
     distinct lines in its sections: this bounds the list of lines held for a book and the group that finds its blocks.
     """
     ship(sections.sparkSession)
@@ -52,11 +53,11 @@ def repeated_lines(sections: DataFrame, toc: DataFrame, min_sections: int = 5, m
     t = texts(sections)
     per_section = t.select("section_id", F.array_distinct(F.filter(F.transform(_lines(F.col("raw_text")), lambda x: x.line), lambda x: x.isNotNull())).alias("lines"))
     per_section = member.join(per_section.dropDuplicates(["section_id"]), "section_id")
-    # one row without a line counts the sections of a book, so that one aggregation gives both counts
+    # one row without a line counts the sections of a book, so that one aggregation gives both counts; only what can be kept goes on
     counts = per_section.select("book_id", F.explode(F.array_append("lines", F.lit(None).cast("bigint"))).alias("line")).groupBy("book_id", "line").agg(F.count(F.lit(1)).alias("support"))
-    size = Window.partitionBy("book_id")
-    kept = counts.withColumn("n", F.max(F.when(F.col("line").isNull(), F.col("support"))).over(size)).where(F.col("line").isNotNull() & (F.col("support") >= min_sections) & (F.col("support") >= F.col("n") * min_share))
-    kept = cut(kept.select("book_id", "line", "support", "n"))
+    counts = cut(counts.where(F.col("line").isNull() | (F.col("support") >= min_sections)))
+    size = counts.where("line IS NULL").select("book_id", F.col("support").alias("n"))
+    kept = cut(counts.where("line IS NOT NULL").join(size, "book_id").where(F.col("support") >= F.col("n") * min_share).select("book_id", "line", "support", "n"))
     wanted = member.join(kept.groupBy("book_id").agg(F.collect_list("line").alias("kept")), "book_id")
     wanted = wanted.groupBy("section_id").agg(F.collect_list(F.struct("book_id", "kept")).alias("books"))
     hit = t.join(wanted, "section_id").dropDuplicates(["section_id"])
@@ -67,11 +68,18 @@ def repeated_lines(sections: DataFrame, toc: DataFrame, min_sections: int = 5, m
     edge = edge.groupBy("book_id", "a", F.col("line").alias("b")).agg(F.countDistinct("section_id").alias("w"))
     edge = edge.join(kept.select("book_id", "n").distinct(), "book_id").where((F.col("w") >= min_sections) & (F.col("w") >= F.col("n") * min_share)).select("book_id", "a", "b")
     alone = kept.select("book_id", F.col("line").alias("a"), F.col("line").alias("b"))
-    block = edge.unionByName(alone).groupBy("book_id").applyInPandas(_blocks, "book_id string, line bigint, block bigint")
+    # a number of its own, or adaptive execution would give all books to one task
+    parts = int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = edge.unionByName(alone).repartition(parts, "book_id").groupBy("book_id").applyInPandas(_blocks, "book_id string, line bigint, block bigint")
     block = block.join(kept.select("book_id", "line", "support"), ["book_id", "line"])
     return hit.join(block, ["book_id", "line"]).select("section_id", "book_id", "line_no", "line", "block", "support")
 
 
+def blocks(found: DataFrame) -> DataFrame:
+    """(book_id, block, lines, occurrences, sections, support) of the blocks of :func:`repeated_lines`: how many lines each has, how often and in how many sections any of them stands, and the greatest support of a line."""
+    return found.groupBy("book_id", "block").agg(F.countDistinct("line").alias("lines"), F.count(F.lit(1)).alias("occurrences"), F.countDistinct("section_id").alias("sections"), F.max("support").alias("support"))
+
+
 def without_repeated_lines(sections: DataFrame, toc: DataFrame, **how) -> DataFrame:
     """(section_id, text): every section with an id, once, without its repeated lines; null text stays null."""
     gone = repeated_lines(sections, toc, **how).groupBy("section_id").agg(F.collect_set("line_no").alias("gone"))

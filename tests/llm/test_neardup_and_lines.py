@@ -190,6 +190,9 @@ def test_blocks(spark):
     for r in got:
         lines[r.line_no].add(r.section_id)
     assert len(lines[2]) == len(lines[4]) == 10 and len(lines[5]) == 10 and 1 not in lines and 6 not in lines
+    # a third of the lines' sections, and more, in one book: each line counts by itself, each block once
+    b = {(r.book_id, r.block): r for r in boilerplate.blocks(boilerplate.repeated_lines(s, t)).collect()}
+    assert sum(r.lines for r in b.values()) == len({(r.book_id, r.line) for r in got}) and all(r.sections <= r.occurrences and r.support <= 10 for r in b.values())
     # neighbouring lines are one block
     assert len({r.block for r in got if r.line_no in (2, 4)}) == 1
     text = {r.section_id: r.text for r in boilerplate.without_repeated_lines(s, t).collect()}
