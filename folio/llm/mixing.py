@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folio.session import ship, stored
 
 
+#: Copies a shard holds if their number isn't given, and the most quotas (shards times sources) that the driver divides.
+SHARD_ROWS, MOST_QUOTAS = 50_000, 20_000_000
 #: Targets are a list that the driver reads; more sources are an error.
 MOST_SOURCES = 100_000
 
@@ -54,7 +56,7 @@ def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8, seed: int = 11, total: float | None = None) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, shards: int | None = None, block: int = 8, seed: int = 11, total: float | None = None) -> DataFrame:
     """(shard, position, doc_id, copy, source, tokens): one mixture that meets the target shares.
 
     ``sizes`` has (doc_id, source, tokens), ``targets`` (source, target_share, max_repeats). Names of sources are folded
@@ -65,18 +67,20 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8,
     a source without documents has none, and the shares of the others keep their proportions. A source that cannot give
     what a larger ``total`` asks for gives all it may. No targets or no documents give an empty mixture.
 
-    Only the targets, one row a source, and the sources' sizes reach the driver. A source's documents are ordered by the
+    ``shards`` is their number, by default 16 or as many as hold 50,000 copies each. Only the targets, one row a source, and the sources' sizes reach the driver. A source's documents are ordered by the
     windows of salted parts, so a source with a third of all rows is in no single task.
     """
     spark = sizes.sparkSession
     ship(spark)
     t = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    d = sizes.where("doc_id IS NOT NULL AND tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
-    d = stored(d.join(F.broadcast(t.select("source")), "source").dropDuplicates(["doc_id"]))
-    held = {r.source: (r.tokens, r.docs) for r in d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
     rows = {r.source: (float(r.share), int(r.repeats)) for r in t.limit(MOST_SOURCES + 1).collect()}
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+    listed = spark.createDataFrame([(s,) for s in rows], "source string")
+    d = sizes.where("doc_id IS NOT NULL AND tokens > 0").select("doc_id", source_key(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"))
+    # the list is of checked length by now
+    d = stored(d.join(F.broadcast(listed), "source").dropDuplicates(["doc_id"]))
+    held = {r.source: (r.tokens, r.docs) for r in d.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
     live = sorted(s for s in rows if s in held)
     whole = sum(rows[s][0] for s in live) or 1.0
     share = {s: rows[s][0] / whole for s in live}
@@ -98,6 +102,11 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8,
     at = stored(at.withColumn("copies", F.col("rounds") + more.cast("int")).where("copies > 0").select("source", "doc_id", "tokens", "nth", "copies", "parts", "part"))
     used = {(r.source): int(r.n) for r in at.groupBy("source").agg(F.sum("copies").alias("n")).collect()}
     names = sorted(used)
+    # shards grow with the mixture, so that none is more than one task can order; their table of quotas stays bounded
+    if shards is None:
+        shards = max(16, math.ceil(sum(used.values()) / SHARD_ROWS))
+    if shards * max(len(names), 1) > MOST_QUOTAS:
+        raise ValueError(f"more than {MOST_QUOTAS} quotas of {len(names)} sources in {shards} shards")
     blocks = np.array([math.ceil(used[s] / block) for s in names], np.int64)
     tree = split_tree(blocks, shards, np.random.default_rng(seed)) if names else np.zeros((shards, 0), np.int64)
     # blocks are numbered along the permutation of a source's copies; a shard owns a run of them
@@ -113,7 +122,9 @@ def mix(sizes: DataFrame, targets: DataFrame, shards: int = 16, block: int = 8,
     n_slot = n_slot.select("source", "slot", F.coalesce(F.sum("k").over(prior), F.lit(0)).alias("k0"))
     copies = copies.join(n_slot, ["source", "slot"]).withColumn("at", F.col("k0") + F.row_number().over(Window.partitionBy("source", "slot").orderBy("h", "doc_id", "copy")) - 1)
     copies = copies.withColumn("b", F.floor(F.col("at") / block))
-    dealt = copies.join(F.broadcast(owners), "source").where("b >= lo AND b < hi")
+    # the owner of each block, so that the join is on equal keys and a source's copies are spread by their blocks
+    owners = owners.select("source", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("b"))
+    dealt = copies.join(owners, ["source", "b"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64("doc_id", "copy", "shard", F.lit(seed + 3)), "doc_id", "copy")
     return dealt.select("shard", (F.row_number().over(local) - 1).alias("position"), "doc_id", "copy", "source", "tokens")
 
