@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity by a grouping genetic algorithm on islands.
 
 A solution is a set of bins. Crossover takes over whole, well-filled bins of a second parent, drops the bins of the first
-that hold one of their documents, and best-fits what is displaced. Documents are dealt at random into blocks of bounded
+that hold one of their documents, and best-fits what is displaced, after bins have swapped one or two of their documents
+for a displaced one that fills them better. Documents are dealt at random into blocks of bounded
 size, so that blocks are packed side by side; each block is bred on several islands, and between epochs every island
 sends its best solution to the next one, through a table in the shared folder. What a block leaves in half-empty bins is
 packed again together with the leavings of other blocks.
@@ -40,6 +41,41 @@ def _best_fit(bins: Bins, loads: list[int], items: list[int], size: list[int], c
             bisect.insort(order, (capacity - size[i], len(bins) - 1))
 
 
+def exchange(bins: Bins, loads: list[int], loose: list[int], size: list[int], capacity: int) -> list[int]:
+    """Let bins swap one or two of their items for a loose one that fills them better; the items that are loose then.
+
+    Every swap makes the loose items smaller in sum, so they fit more easily.
+    """
+    order = sorted((size[i], i) for i in loose)
+    for k, x in enumerate(bins):
+        room = capacity - loads[k]
+        if not room or not order:
+            continue
+        best, pick = 0, None
+        for n, i in enumerate(x):
+            # the largest loose item that fits where i was, if it is larger
+            at = bisect.bisect_right(order, (size[i] + room, len(size)))
+            if at and order[at - 1][0] - size[i] > best:
+                best, pick = order[at - 1][0] - size[i], (at - 1, (n,))
+            if best == room:
+                break
+            if len(x) <= 12:
+                for m in range(n):
+                    both = size[i] + size[x[m]]
+                    at = bisect.bisect_right(order, (both + room, len(size)))
+                    if at and order[at - 1][0] - both > best:
+                        best, pick = order[at - 1][0] - both, (at - 1, (m, n))
+        if pick:
+            at, out = pick
+            _, new = order.pop(at)
+            for n in reversed(out):
+                i = x.pop(n)
+                bisect.insort(order, (size[i], i))
+            x.append(new)
+            loads[k] += best
+    return [i for _, i in order]
+
+
 def fitness(bins: Bins, size: list[int], capacity: int) -> float:
     """The mean square of the bins' fill: fewer bins, and unequal ones, are better."""
     return sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) if bins else 1.0
@@ -59,12 +95,12 @@ def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Rand
         else:
             loose += [i for i in x if i not in inside]
     loads = [sum(size[i] for i in x) for x in bins]
-    _best_fit(bins, loads, loose, size, capacity)
+    _best_fit(bins, loads, exchange(bins, loads, loose, size, capacity), size, capacity)
     return bins
 
 
 def mutate(a: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
-    """``a`` with its emptiest bin and a few others dissolved and best-fitted again."""
+    """``a`` with its emptiest bin and a few others dissolved, swapped into the rest and best-fitted again."""
     if len(a) < 2:
         return a
     fill = [sum(size[i] for i in x) for x in a]
@@ -72,11 +108,27 @@ def mutate(a: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
     bins = [list(x) for k, x in enumerate(a) if k not in out]
     loads = [fill[k] for k in range(len(a)) if k not in out]
     loose = [i for k in out for i in a[k]]
-    rng.shuffle(loose)
-    _best_fit(bins, loads, loose, size, capacity)
+    _best_fit(bins, loads, exchange(bins, loads, loose, size, capacity), size, capacity)
     return bins
 
 
+def bound(size: list[int], capacity: int) -> int:
+    """No packing has fewer bins: items above a threshold need bins of their own, and what these can't hold needs others (Martello and Toth)."""
+    order = sorted(size)
+    total = [0]
+    for x in order:
+        total.append(total[-1] + x)
+    best = -(-total[-1] // capacity)
+    half = bisect.bisect_right(order, capacity // 2)
+    for a in {0, *order[:half]}:
+        big = bisect.bisect_right(order, capacity - a)  # from here on alone
+        low = bisect.bisect_left(order, a)
+        alone, middle = len(order) - big, big - half
+        room = middle * capacity - (total[big] - total[half])
+        best = max(best, alone + middle + max(0, -(-(total[half] - total[low] - room) // capacity)))
+    return best
+
+
 def breed(size: list[int], capacity: int, seed: int, population: int, generations: int, migrants: list[Bins]) -> Bins:
     """The best solution of an island after some generations; migrants join its first population."""
     rng = random.Random(seed)
@@ -96,7 +148,7 @@ def breed(size: list[int], capacity: int, seed: int, population: int, generation
         pool.append((fitness(bins, size, capacity), bins))
     pool += [(fitness(m, size, capacity), m) for m in migrants]
     pool.sort(key=lambda x: -x[0])
-    least = -(-sum(size) // capacity)
+    least = bound(size, capacity)
     for _ in range(generations):
         if len(pool[0][1]) <= least:
             break  # no solution has fewer bins
@@ -111,7 +163,7 @@ def breed(size: list[int], capacity: int, seed: int, population: int, generation
     return pool[0][1]
 
 
-def pack(sizes: DataFrame, packs: DataFrame, block: int = 2000, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 10, seed: int = 7) -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, block: int = 10_000, islands: int = 3, epochs: int = 3, population: int = 6, generations: int = 60, seed: int = 7) -> DataFrame:
     """(pack_name, bin_id, doc_id, part, tokens): every document in one bin of each pack, no bin beyond its capacity.
 
     ``sizes`` has (doc_id, tokens), ``packs`` (pack_name, capacity_tokens). A document larger than the capacity is divided
@@ -150,6 +202,8 @@ def _bred(items: DataFrame, block: int, islands: int, epochs: int, population: i
     dealt = items.join(F.broadcast(n), "pack_name").withColumn("block", F.pmod(F.xxhash64("doc_id", "part", F.lit(seed)), F.col("blocks")).cast("int"))
     blocks = dealt.groupBy("pack_name", "capacity", "block").agg(F.sort_array(F.collect_list(F.struct("tokens", "doc_id", "part"))).alias("items"))
     blocks = stored(blocks.withColumn("items", F.struct(F.col("items.tokens").alias("tokens"), F.col("items.doc_id").alias("doc_id"), F.col("items.part").alias("part"))))
+    # a number of tasks of its own: the tables are small for their work, and adaptive execution would give all blocks to one task
+    tasks = max(1, min(blocks.count() * islands, 4 * items.sparkSession.sparkContext.defaultParallelism * 8))
     best = None
     for epoch in range(epochs):
         at = blocks.select("pack_name", "capacity", "block", F.col("items.tokens").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
@@ -159,7 +213,7 @@ def _bred(items: DataFrame, block: int, islands: int, epochs: int, population: i
             own = best.select("pack_name", "block", "island", F.col("bins").alias("own"))
             guest = best.select("pack_name", "block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("guest"))
             at = at.join(own, ["pack_name", "block", "island"]).join(guest, ["pack_name", "block", "island"])
-        at = at.repartition("pack_name", "block", "island")
+        at = at.repartition(tasks, "pack_name", "block", "island")
         best = stored(at.mapInPandas(_island(population, generations, seed + 1000 * epoch), "pack_name string, block int, island int, bins array<int>, n_bins int, fit double"))
     choice = best.groupBy("pack_name", "block").agg(F.max_by("bins", F.struct(-F.col("n_bins"), "fit", -F.col("island"))).alias("bins"))
     out = blocks.join(choice, ["pack_name", "block"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folio.llm import boilerplate, mixing, neardup, packing, scans, sentences, sizes, spam, splitting, unmarked
-from folio.session import table
+from folio.session import stored, table
 
 
 def _repaired(spark: SparkSession, d: str) -> DataFrame:
@@ -69,13 +69,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries")).select("section_id", "line_no").distinct()
 
 
+def p5_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of repeated lines of each book."""
+    return boilerplate.blocks(boilerplate.repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries")))
+
+
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every section without its repeated lines."""
     return boilerplate.without_repeated_lines(table(spark, d, "sections"), table(spark, d, "toc_entries"))
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(sizes.token_counts(table(spark, d, "documents")), table(spark, d, "pack_sizes"))
+    # tokens are counted once; what follows reads them several times
+    return packing.pack(stored(sizes.token_counts(table(spark, d, "documents"))), table(spark, d, "pack_sizes"))
 
 
 def p6_packs(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +113,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_all": p2_all, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_blocks": p5_blocks, "p5_cleaned": p5_cleaned, "p6_packs": p6_packs, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found}
 
 _P5 = r"""
 WITH m AS (SELECT DISTINCT book_id, section_id FROM toc_entries WHERE book_id IS NOT NULL AND section_id IS NOT NULL),

@@ -19,6 +19,37 @@ def test_breeding_keeps_all_items_and_capacity():
     assert len(bins) <= len(first) and -(-sum(size) // 100) <= len(bins)
 
 
+def test_breeding_saves_bins_of_best_fit():
+    rng = random.Random(11)
+    saved = 0
+    for capacity, most in ((512, 511), (1000, 400), (300, 290)):
+        size = [rng.randint(20, most) for _ in range(700)]
+        first: list = []
+        packing._best_fit(first, [], list(range(len(size))), size, capacity)
+        bins = packing.breed(size, capacity, 5, 6, 120, [])
+        assert packing.bound(size, capacity) <= len(bins) <= len(first)
+        assert sorted(i for b in bins for i in b) == list(range(700)) and all(sum(size[i] for i in b) <= capacity for b in bins)
+        saved += len(first) - len(bins)
+    assert saved >= 2
+
+
+def test_bound():
+    assert packing.bound([60, 60, 60, 40, 40, 40], 100) == 3 and packing.bound([51] * 7, 100) == 7 and packing.bound([], 10) == 0
+    assert packing.bound([60, 60, 30, 30, 30], 100) == 3 and packing.bound([70, 70, 70, 40, 40], 100) == 4
+
+
+def test_exchange_keeps_items_and_fills_better():
+    rng = random.Random(4)
+    size = [rng.randint(5, 60) for _ in range(120)]
+    bins: list = []
+    packing._best_fit(bins, [], list(range(90)), size, 100)
+    loads = [sum(size[i] for i in b) for b in bins]
+    before, loose = sum(loads), list(range(90, 120))
+    left = packing.exchange(bins, loads, loose, size, 100)
+    assert sorted(left + [i for b in bins for i in b]) == list(range(120)) and sum(loads) > before
+    assert loads == [sum(size[i] for i in b) for b in bins] and max(loads) <= 100
+
+
 def test_crossover_injects_whole_bins():
     rng = random.Random(5)
     size = [50] * 20
@@ -57,6 +88,9 @@ def test_mix(spark):
     rows = [(k, "Big", 100) for k in range(400)] + [(1000 + k, " small-one ", 100) for k in range(10)] + [(2000, None, 5), (None, "big", 5), (2001, "other", 5), (0, "Big", 100)]
     s = spark.createDataFrame(rows, "doc_id long, source string, tokens int")
     t = spark.createDataFrame([("big", 0.75, 1), ("small_one", 0.2, 6), ("none", 0.05, 3)], "source string, target_share double, max_repeats int")
+    with pytest.raises(ValueError):
+        mixing.mix(s, t, shards=20_000_001)
+    assert mixing.mix(s, t).select("shard").distinct().count() <= 16
     m = mixing.mix(s, t, shards=4).collect()
     use = Counter(r.doc_id for r in m)
     assert len({(r.doc_id, r.copy) for r in m}) == len(m)
