@@ -19,97 +19,112 @@ from pyspark.sql import DataFrame, functions as F
 
 from folio.session import ship, stored
 
-Bins = list[list[int]]
+#: Bins are tuples that solutions share, and are never changed.
+Bins = list[tuple[int, ...]]
 
 #: Packs are a short list that the driver reads; more are an error.
 MOST_PACKS = 1000
+#: How many bins a child takes over at most, and how many bins are asked to swap with what is displaced.
+INJECTED, ASKED = 400, 250
 
 
 def _best_fit(bins: Bins, loads: list[int], items: list[int], size: list[int], capacity: int) -> None:
     """Put each item, largest first, into the bin it leaves the least room in, or into a new one."""
-    order = sorted((capacity - x, k) for k, x in enumerate(loads))
+    if not items:
+        return
+    least = min(size[i] for i in items)
+    order = sorted((capacity - x, k) for k, x in enumerate(loads) if capacity - x >= least)
     for i in sorted(items, key=lambda i: -size[i]):
         at = bisect.bisect_left(order, (size[i], -1))
         if at < len(order):
             room, k = order.pop(at)
-            bins[k].append(i)
+            bins[k] += (i,)
             loads[k] += size[i]
-            bisect.insort(order, (room - size[i], k))
+            if room - size[i] >= least:
+                bisect.insort(order, (room - size[i], k))
         else:
-            bins.append([i])
+            bins.append((i,))
             loads.append(size[i])
-            bisect.insort(order, (capacity - size[i], len(bins) - 1))
+            if capacity - size[i] >= least:
+                bisect.insort(order, (capacity - size[i], len(bins) - 1))
 
 
-def exchange(bins: Bins, loads: list[int], loose: list[int], size: list[int], capacity: int) -> list[int]:
-    """Let bins swap one or two of their items for a loose one that fills them better; the items that are loose then.
+def exchange(bins: Bins, loads: list[int], loose: list[int], size: list[int], capacity: int, asked: list[int]) -> list[int]:
+    """Let the ``asked`` bins swap one or two of their items for a loose one that fills them better; the items that are loose then.
 
     Every swap makes the loose items smaller in sum, so they fit more easily.
     """
     order = sorted((size[i], i) for i in loose)
-    for k, x in enumerate(bins):
+    last = len(size)
+    for k in asked:
         room = capacity - loads[k]
         if not room or not order:
             continue
+        x = bins[k]
         best, pick = 0, None
         for n, i in enumerate(x):
             # the largest loose item that fits where i was, if it is larger
-            at = bisect.bisect_right(order, (size[i] + room, len(size)))
+            at = bisect.bisect_right(order, (size[i] + room, last))
             if at and order[at - 1][0] - size[i] > best:
                 best, pick = order[at - 1][0] - size[i], (at - 1, (n,))
             if best == room:
                 break
-            if len(x) <= 12:
+            if len(x) <= 8:
                 for m in range(n):
                     both = size[i] + size[x[m]]
-                    at = bisect.bisect_right(order, (both + room, len(size)))
+                    at = bisect.bisect_right(order, (both + room, last))
                     if at and order[at - 1][0] - both > best:
                         best, pick = order[at - 1][0] - both, (at - 1, (m, n))
         if pick:
             at, out = pick
             _, new = order.pop(at)
-            for n in reversed(out):
-                i = x.pop(n)
-                bisect.insort(order, (size[i], i))
-            x.append(new)
+            for n in out:
+                bisect.insort(order, (size[x[n]], x[n]))
+            bins[k] = (*(i for n, i in enumerate(x) if n not in out), new)
             loads[k] += best
     return [i for _, i in order]
 
 
-def fitness(bins: Bins, size: list[int], capacity: int) -> float:
+def fitness(loads: list[int], capacity: int) -> float:
     """The mean square of the bins' fill: fewer bins, and unequal ones, are better."""
-    return sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) if bins else 1.0
+    return sum(x * x for x in loads) / len(loads) / capacity**2 if loads else 1.0
 
 
-def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child of ``a`` with a random part of the well-filled bins of ``b``."""
-    fill = [sum(size[i] for i in x) / capacity for x in b]
-    good = [k for k in range(len(b)) if fill[k] >= 0.98] or [max(range(len(b)), key=fill.__getitem__)]
-    taken = rng.sample(good, max(1, len(good) // rng.randint(2, 4)))
-    inside = {i for k in taken for i in b[k]}
-    bins: Bins = [list(b[k]) for k in taken]
-    loose: list[int] = []
-    for x in a:
-        if inside.isdisjoint(x):
-            bins.append(list(x))
-        else:
-            loose += [i for i in x if i not in inside]
-    loads = [sum(size[i] for i in x) for x in bins]
-    _best_fit(bins, loads, exchange(bins, loads, loose, size, capacity), size, capacity)
-    return bins
+Solution = tuple[Bins, list[int]]
+
+
+def _settled(bins: Bins, loads: list[int], loose: list[int], size: list[int], capacity: int, rng: random.Random) -> Solution:
+    asked = rng.sample(range(len(bins)), min(ASKED, len(bins)))
+    _best_fit(bins, loads, exchange(bins, loads, loose, size, capacity, asked), size, capacity)
+    return bins, loads
+
+
+def crossover(a: Solution, b: Solution, size: list[int], capacity: int, rng: random.Random) -> Solution:
+    """A child of ``a`` with a random part of the well-filled bins of ``b``; what is displaced is swapped into other bins or best-fitted."""
+    full = 0.98 * capacity
+    good = [k for k, x in enumerate(b[1]) if x >= full] or [max(range(len(b[1])), key=b[1].__getitem__)]
+    taken = rng.sample(good, min(INJECTED, max(1, len(good) // rng.randint(2, 4))))
+    inside = {i for k in taken for i in b[0][k]}
+    stay = [k for k, x in enumerate(a[0]) if inside.isdisjoint(x)]
+    kept = set(stay)
+    loose = [i for k, x in enumerate(a[0]) if k not in kept for i in x if i not in inside]
+    bins = [a[0][k] for k in stay] + [b[0][k] for k in taken]
+    loads = [a[1][k] for k in stay] + [b[1][k] for k in taken]
+    return _settled(bins, loads, loose, size, capacity, rng)
 
 
-def mutate(a: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
+def mutate(a: Solution, size: list[int], capacity: int, rng: random.Random) -> Solution:
     """``a`` with its emptiest bin and a few others dissolved, swapped into the rest and best-fitted again."""
-    if len(a) < 2:
-        return a
-    fill = [sum(size[i] for i in x) for x in a]
-    out = {min(range(len(a)), key=fill.__getitem__), *rng.sample(range(len(a)), min(3, len(a)))}
-    bins = [list(x) for k, x in enumerate(a) if k not in out]
-    loads = [fill[k] for k in range(len(a)) if k not in out]
-    loose = [i for k in out for i in a[k]]
-    _best_fit(bins, loads, exchange(bins, loads, loose, size, capacity), size, capacity)
-    return bins
+    bins, loads = list(a[0]), list(a[1])
+    if len(bins) < 2:
+        return bins, loads
+    out = {min(range(len(loads)), key=loads.__getitem__), *rng.sample(range(len(loads)), min(3, len(loads)))}
+    loose: list[int] = []
+    for k in sorted(out, reverse=True):
+        loose += bins[k]
+        bins[k], loads[k] = bins[-1], loads[-1]
+        bins.pop(), loads.pop()
+    return _settled(bins, loads, loose, size, capacity, rng)
 
 
 def bound(size: list[int], capacity: int) -> int:
@@ -133,37 +148,42 @@ def breed(size: list[int], capacity: int, seed: int, population: int, generation
     """The best solution of an island after some generations; migrants join its first population."""
     rng = random.Random(seed)
     items = list(range(len(size)))
-    pool: list[tuple[float, Bins]] = []
-    for n in range(population):
+    pool: list[tuple[float, Solution]] = []
+
+    def join(bins: Bins, loads: list[int]) -> None:
+        pool.append((fitness(loads, capacity), (bins, loads)))
+
+    for n in range(max(1, population - len(migrants))):
         bins: Bins = []
-        if n == 0:
-            _best_fit(bins, [], items, size, capacity)
+        loads: list[int] = []
+        if n == 0 and not migrants:
+            _best_fit(bins, loads, items, size, capacity)
         else:
             # a random part fills first, so that solutions differ
             some = rng.sample(items, len(items) // 3)
-            loads: list[int] = []
-            _best_fit(bins, loads, some, size, capacity)
             rest = set(some)
+            _best_fit(bins, loads, some, size, capacity)
             _best_fit(bins, loads, [i for i in items if i not in rest], size, capacity)
-        pool.append((fitness(bins, size, capacity), bins))
-    pool += [(fitness(m, size, capacity), m) for m in migrants]
+        join(bins, loads)
+    for m in migrants:
+        join(list(m), [sum(size[i] for i in b) for b in m])
     pool.sort(key=lambda x: -x[0])
     least = bound(size, capacity)
     for _ in range(generations):
-        if len(pool[0][1]) <= least:
+        if len(pool[0][1][0]) <= least:
             break  # no solution has fewer bins
         a, b = (min(rng.sample(range(len(pool)), min(2, len(pool)))) for _ in range(2))
-        child = crossover(pool[a][1], pool[b][1], size, capacity, rng)
-        if rng.random() < 0.5:
+        child = crossover(pool[a][1], pool[b][1], size, capacity, rng) if a != b else pool[a][1]
+        if a == b or rng.random() < 0.5:
             child = mutate(child, size, capacity, rng)
-        f = fitness(child, size, capacity)
+        f = fitness(child[1], capacity)
         if f > pool[-1][0]:
             pool[-1] = (f, child)
             pool.sort(key=lambda x: -x[0])
-    return pool[0][1]
+    return pool[0][1][0]
 
 
-def pack(sizes: DataFrame, packs: DataFrame, block: int = 10_000, islands: int = 3, epochs: int = 3, population: int = 6, generations: int = 60, seed: int = 7) -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, block: int = 10_000, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 150, seed: int = 7) -> DataFrame:
     """(pack_name, bin_id, doc_id, part, tokens): every document in one bin of each pack, no bin beyond its capacity.
 
     ``sizes`` has (doc_id, tokens), ``packs`` (pack_name, capacity_tokens). A document larger than the capacity is divided
@@ -231,18 +251,18 @@ def _island(population: int, generations: int, seed: int):
                 bins = breed(size, int(r.capacity), seed + 31 * int(r.block) + int(r.island), population, generations, migrants)
                 of = np.zeros(len(size), np.int32)
                 for k, b in enumerate(bins):
-                    of[b] = k
-                out.append((r.pack_name, r.block, r.island, of, len(bins), fitness(bins, size, int(r.capacity))))
+                    of[list(b)] = k
+                out.append((r.pack_name, r.block, r.island, of, len(bins), fitness([sum(size[i] for i in b) for b in bins], int(r.capacity))))
             yield pd.DataFrame(out, columns=["pack_name", "block", "island", "bins", "n_bins", "fit"])
 
     return run
 
 
 def _as_bins(of) -> Bins:
-    bins: Bins = [[] for _ in range(int(max(of)) + 1)]
+    bins: list[list[int]] = [[] for _ in range(int(max(of)) + 1)]
     for i, k in enumerate(of):
         bins[k].append(i)
-    return bins
+    return list(map(tuple, bins))
 
 
 def report(packed: DataFrame, packs: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def test_exchange_keeps_items_and_fills_better():
     packing._best_fit(bins, [], list(range(90)), size, 100)
     loads = [sum(size[i] for i in b) for b in bins]
     before, loose = sum(loads), list(range(90, 120))
-    left = packing.exchange(bins, loads, loose, size, 100)
+    left = packing.exchange(bins, loads, loose, size, 100, list(range(len(bins))))
     assert sorted(left + [i for b in bins for i in b]) == list(range(120)) and sum(loads) > before
     assert loads == [sum(size[i] for i in b) for b in bins] and max(loads) <= 100
 
@@ -53,9 +53,10 @@ def test_exchange_keeps_items_and_fills_better():
 def test_crossover_injects_whole_bins():
     rng = random.Random(5)
     size = [50] * 20
-    a = [[k, k + 1] for k in range(0, 20, 2)]
-    b = [[k, 19 - k] for k in range(10)]
-    child = packing.crossover(a, b, size, 100, rng)
+    a = [(k, k + 1) for k in range(0, 20, 2)]
+    b = [(k, 19 - k) for k in range(10)]
+    child, loads = packing.crossover((a, [100] * 10), (b, [100] * 10), size, 100, rng)
+    assert loads == [100] * 10
     assert sorted(i for x in child for i in x) == list(range(20)) and any(x in b for x in child)
 
 
