@@ -183,7 +183,7 @@ def breed(size: list[int], capacity: int, seed: int, population: int, generation
     return pool[0][1][0]
 
 
-def pack(sizes: DataFrame, packs: DataFrame, block: int = 10_000, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 150, seed: int = 7) -> DataFrame:
+def pack(sizes: DataFrame, packs: DataFrame, block: int = 10_000, islands: int = 2, epochs: int = 2, population: int = 6, generations: int = 110, seed: int = 7) -> DataFrame:
     """(pack_name, bin_id, doc_id, part, tokens): every document in one bin of each pack, no bin beyond its capacity.
 
     ``sizes`` has (doc_id, tokens), ``packs`` (pack_name, capacity_tokens). A document larger than the capacity is divided
