@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folio.functions.text import word_count
-from folio.operators.facts import lenient_json, tier, weight
-from folio.schema import FACT_STATUS
+from folio.operators.facts import filled, lenient_json, tier, weight
+from folio.schema import FACT_STATUS, REPORT, SUMMARY, VALIDATION
+from folio.sources.books import append
 
 
 def long_enough(summaries: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -53,6 +54,53 @@ def facts_json(facts: DataFrame) -> DataFrame:
     return f.select("section_id", F.to_json(F.transform("f", lambda x: F.struct(x.id.alias("id"), x.point.alias("point"), x["rank"].alias("rank")))).alias("facts"))
 
 
+SYSTEM = "You check whether a summary holds given facts. Answer with a JSON array with one object a fact, in the given order: fact_id, status (found, partial, missing or contradicted), evidence, confidence from 0 to 1, and improved, which is null at a first attempt."
+USER = "Summary:\n{summary}\n\nFacts:\n{facts}\n\n{attempt}"
+FIRST = "This is the first attempt."
+LATER = "Attempt {number} scored {score}:\n{summary}\n\nThen these facts were\n{digest}"
+
+
+def previous(summaries: DataFrame, reports: DataFrame, validations: DataFrame) -> DataFrame:
+    """(id, section_id, attempt, previous_id, previous_text, previous_report, previous_score, digest) of each summary.
+
+    The previous attempt of a section is the one before by time of submission and id; its report is that of the
+    ``reports`` (report_id, summary_id, score), the greatest id if there are several, and ``digest`` that of its validations. All of
+    them are null at the first attempt, the report's also if the previous summary has none. A summary delivered again counts once.
+    """
+    w = Window.partitionBy("section_id").orderBy("attempt")
+    s = attempts(summaries.where("id IS NOT NULL").dropDuplicates(["id"])).select("id", "section_id", "attempt", "text")
+    s = s.select("id", "section_id", "attempt", F.lag("id").over(w).alias("previous_id"), F.lag("text").over(w).alias("previous_text"))
+    r = reports.where("report_id IS NOT NULL").groupBy(F.col("summary_id").alias("previous_id")).agg(F.max(F.struct("report_id", "score")).alias("r"))
+    j = s.join(r, "previous_id", "left").select("id", "section_id", "attempt", "previous_id", "previous_text", F.col("r.report_id").alias("previous_report"), F.col("r.score").alias("previous_score"))
+    return j.join(digest(validations).withColumnRenamed("report_id", "previous_report"), "previous_report", "left").select("id", "section_id", "attempt", "previous_id", "previous_text", "previous_report", "previous_score", "digest")
+
+
+def validation_prompts(summaries: DataFrame, facts: DataFrame, before: DataFrame) -> DataFrame:
+    """(id, section_id, system, user): what a model is asked about each summary (id, section_id, text) whose section has facts.
+
+    ``before`` is the result of :func:`previous`: an attempt counts as the first unless the one before has a report. Scores
+    are rounded to two places, half to even; null texts are empty.
+    """
+    b = before.select("id", F.col("attempt") - 1, F.coalesce("previous_text", F.lit("")), F.bround("previous_score", 2).cast("string"), "digest", F.col("previous_report").isNotNull()).toDF("id", "number", "old", "score", "digest", "later")
+    j = summaries.where("id IS NOT NULL").dropDuplicates(["id"]).select("id", "section_id", F.coalesce("text", F.lit("")).alias("text")).join(facts_json(facts.where("section_id IS NOT NULL")), "section_id").join(b, "id", "left")
+    later = F.coalesce("later", F.lit(False))
+    none = "\n".join(f"  {s.capitalize():<14}none" for s in FACT_STATUS)
+    attempt = F.when(later, filled(LATER, number=F.col("number").cast("string"), score=F.coalesce("score", F.lit("")), summary=F.col("old"), digest=F.coalesce("digest", F.lit(none)))).otherwise(F.lit(FIRST))
+    return j.select("id", "section_id", F.lit(SYSTEM).alias("system"), filled(USER, attempt=attempt, facts=F.col("facts"), summary=F.col("text")).alias("user"))
+
+
+def store(folder: str, summaries: DataFrame, reports: DataFrame, validations: DataFrame) -> None:
+    """Add an audit to the tables ``summary``, ``report`` and ``validation`` of a folder, in this order, with the columns of their schemas; missing ones are null."""
+    for name, df, schema in (("summary", summaries, SUMMARY), ("report", reports, REPORT), ("validation", validations, VALIDATION)):
+        cols = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
+        append(df.select(*cols), f"{folder.rstrip('/')}/{name}")
+
+
+def of_section(summaries: DataFrame, section_id: str) -> DataFrame:
+    """Summaries of one section."""
+    return summaries.where(F.col("section_id") == section_id)
+
+
 def read_validations(replies: DataFrame) -> DataFrame:
     """(report_id, atomic_fact_id, status, evidence, confidence, improved) of replies (report_id, content).
 

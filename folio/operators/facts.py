@@ -141,7 +141,8 @@ MAP_SYSTEM = "You outline a long passage so that a reader knows what to expect.
 MAP_USER = "First give one line for each topic of the passage, then the three to seven facts a reader must keep, all in under 300 words.\n\n{text}"
 
 
-def _filled(template: str, **values: Column) -> Column:
+def filled(template: str, **values: Column) -> Column:
+    """A text with values at its places in braces; braces inside values that were put in earlier aren't told apart, so texts come last."""
     out = F.lit(template)
     for k, v in values.items():
         out = F.replace(out, F.lit("{" + k + "}"), v)
@@ -156,7 +157,7 @@ def hint_prompts(facts: DataFrame, count: int = 5) -> DataFrame:
     f = facts.where("section_id IS NOT NULL AND point IS NOT NULL").select("section_id", tier(F.col("rank")).alias("r"), "created_at", "id", "point")
     one = F.sort_array(F.collect_list(F.struct("r", F.col("created_at").isNull().alias("late"), "created_at", "id", "point")))
     lines = F.array_join(F.transform(one, lambda x: F.concat(F.lit("  [Rank "), x.r.cast("string"), F.lit("] "), x.point)), "\n")
-    return f.groupBy("section_id").agg(lines.alias("facts")).select("section_id", F.lit(HINT_SYSTEM).alias("system"), _filled(HINT_USER, count=F.lit(str(count)), facts=F.col("facts")).alias("user"))
+    return f.groupBy("section_id").agg(lines.alias("facts")).select("section_id", F.lit(HINT_SYSTEM).alias("system"), filled(HINT_USER, count=F.lit(str(count)), facts=F.col("facts")).alias("user"))
 
 
 def read_hints(replies: DataFrame, most: int = 5) -> DataFrame:
@@ -170,7 +171,7 @@ def read_hints(replies: DataFrame, most: int = 5) -> DataFrame:
 def map_prompts(sections: DataFrame, tokens: Column, more_than: int = 4000) -> DataFrame:
     """(section_id, system, user): what a model is asked for the outline of each section (id, raw_text) of more than so many tokens; null texts have none."""
     s = sections.where(F.col("id").isNotNull() & F.col("raw_text").isNotNull()).dropDuplicates(["id"]).where(tokens > more_than)
-    return s.select(F.col("id").alias("section_id"), F.lit(MAP_SYSTEM).alias("system"), _filled(MAP_USER, text=F.col("raw_text")).alias("user"))
+    return s.select(F.col("id").alias("section_id"), F.lit(MAP_SYSTEM).alias("system"), filled(MAP_USER, text=F.col("raw_text")).alias("user"))
 
 
 def hints(facts: DataFrame, most: int = 5) -> DataFrame:

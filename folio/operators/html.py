@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folio.session import ship
 
+# Kinds of elements, and hints in the classes of headings.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset(("nav", "script", "style"))
 CONTAINERS = frozenset(("section", "article", "div", "main", "aside", "body"))
@@ -22,6 +23,7 @@ HEADINGS = frozenset(("h", "h1", "h2", "h3", "h4", "h5", "h6"))
 BLOCKS = frozenset("div p section article aside main header footer li td th blockquote figure".split())
 #: An element of one of these ends an open paragraph.
 CLOSES_P = frozenset("p div section article aside main header footer ul ol table blockquote figure h1 h2 h3 h4 h5 h6 hr pre".split())
+HINTS = ("h", "chap", "chapter-title", "section-title")
 
 
 class Node:
@@ -101,7 +103,7 @@ def _by_id(name: str):
 
 def heading_like(e: Node) -> bool:
     """A paragraph whose classes contain one of the hints, the letter h being one of them."""
-    return e.tag == "p" and any(x in e.attrs.get("class", "").lower() for x in ("h", "chap", "chapter-title", "section-title"))
+    return e.tag == "p" and any(x in e.attrs.get("class", "").lower() for x in HINTS)
 
 
 def chapter_level(top: Node) -> list:
@@ -118,8 +120,10 @@ def chapter_level(top: Node) -> list:
 def siblings(start: Node, stop: str | None) -> list:
     """An element and the elements behind it, up to the one that is the stop or has it inside, which is cut there."""
     out: list = []
-    cur: Node | None = start
-    while cur is not None:
+    own = start.parent.children if start.parent is not None else [start]
+    for cur in own[next(i for i, c in enumerate(own) if c is start) :]:
+        if isinstance(cur, str):
+            continue
         if stop:
             if cur.attrs.get("id") == stop:
                 break
@@ -129,7 +133,6 @@ def siblings(start: Node, stop: str | None) -> list:
                 break
         if cur.tag not in SKIPPED:
             out.append(cur)
-        cur = cur.next_element()
     return out
 
 
@@ -160,11 +163,23 @@ def resolve_heading(e: Node, body: Node | None) -> Node | None:
     return None
 
 
-def extract(top: Node, anchor: str | None, stop: str | None) -> list | None:
-    """The nodes of the text at an anchor; None if there is no such anchor."""
+def anchors(top: Node) -> dict[str, Node]:
+    """The first element of each id, and the first link of each name that is no id."""
+    ids: dict[str, Node] = {}
+    names: dict[str, Node] = {}
+    for e in top.elements():
+        if "id" in e.attrs:
+            ids.setdefault(e.attrs["id"], e)
+        if e.tag == "a" and "name" in e.attrs:
+            names.setdefault(e.attrs["name"], e)
+    return {**names, **ids}
+
+
+def extract(top: Node, anchor: str | None, stop: str | None, known: dict[str, Node] | None = None) -> list | None:
+    """The nodes of the text at an anchor; None if there is no such anchor. ``known`` has the :func:`anchors`, if they are wanted more than once."""
     if not anchor:
         return chapter_level(top)
-    target = top.find(_by_id(anchor)) or top.find(lambda e: e.tag == "a" and e.attrs.get("name") == anchor)
+    target = (anchors(top) if known is None else known).get(anchor)
     if target is None:
         return None
     if target.tag == "body":
@@ -273,8 +288,9 @@ def extract_texts(stops: DataFrame, files: DataFrame) -> DataFrame:
             out = []
             for book, html, rows in zip(pdf["book_id"], pdf["html"], pdf["rows"]):
                 top = parse(html)
+                known = anchors(top)
                 for r in rows:
-                    nodes = extract(top, r["anchor"], r["stop_anchor"])
+                    nodes = extract(top, r["anchor"], r["stop_anchor"], known)
                     text = to_markdown(nodes) if nodes else ""
                     if text.strip():
                         out.append((book, r["id"], text))

@@ -45,6 +45,17 @@ def heuristic_toc(spans: DataFrame) -> DataFrame:
     return all_of.select("doc_id", F.row_number().over(w).alias("toc_order"), F.lit(1).alias("level"), "title", F.greatest(F.col("page"), F.lit(1)).cast("string").alias("href"))
 
 
+def contents(outline: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, toc_order, level, title, href): a document's own outline (doc_id, toc_order, level, title, page) where it has one, else :func:`heuristic_toc`.
+
+    Rows of the outline without document, order or level are left out; a missing title is ``Untitled``, a page below 1 counts as 1.
+    """
+    t = strip(F.coalesce("title", F.lit("")))
+    o = outline.where("doc_id IS NOT NULL AND toc_order IS NOT NULL AND level IS NOT NULL")
+    own = o.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("toc_order")).alias("toc_order"), F.col("level").cast("int").alias("level"), F.when(t == "", "Untitled").otherwise(t).alias("title"), F.greatest(F.coalesce("page", F.lit(1)), F.lit(1)).cast("string").alias("href"))
+    return own.unionByName(heuristic_toc(spans.join(o.select("doc_id").distinct(), "doc_id", "left_anti")))
+
+
 def page_markdown(spans: DataFrame) -> DataFrame:
     """(doc_id, page, markdown) of each page: headings by size, one paragraph a block.
 

@@ -60,8 +60,9 @@ def path_ids(toc: DataFrame, deepest: int = 8) -> DataFrame:
     at = _lasts(flat, deepest)
     above = F.greatest(F.lit(0), *(F.when(F.col("level") > k, _ord(k)) for k in range(1, deepest + 1)))
     at = at.select("book_id", "id", "title", "level", "ord", above.alias("since"))
-    own = Window.partitionBy("book_id", "level", "since").orderBy("ord")
-    at = _lasts(at.withColumn("c", F.row_number().over(own)), deepest, "c")
+    # a flat book is one group of siblings: they are counted by ranges, not in one window
+    at = running(stored(at), ["book_id", "level", "since"], "ord", "id", c=("sum", F.lit(1)))
+    at = _lasts(at.withColumn("c", F.col("c").cast("int")), deepest, "c")
     parts = []
     for k in range(1, deepest + 1):
         top = F.greatest(F.lit(0), F.lit(0), *(_ord(j) for j in range(1, k)))

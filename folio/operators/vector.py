@@ -33,53 +33,63 @@ def search(vectors: DataFrame, query: list[float], where: Column | None = None,
     return v.where(F.col(col).isNotNull()).select(id_col, squared_distance(F.col(col), query).alias("distance")).orderBy("distance", id_col).limit(k)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", col: str = "embedding", block: int = 4096) -> DataFrame:
+def _best(x: np.ndarray, xi: np.ndarray, qm: np.ndarray, qi: np.ndarray, k: int) -> Iterator[tuple]:
+    """(query, row, distance): for each query its ``k`` nearest other rows, ties by id."""
+    for s in range(0, len(qi), 256):
+        d = ((qm[s : s + 256, None, :] - x[None, :, :]) ** 2).sum(-1) if len(x) * 256 * x.shape[1] <= 3e7 else np.stack([((x - y) ** 2).sum(1) for y in qm[s : s + 256]])
+        near = np.argpartition(d, min(k + 1, d.shape[1] - 1), axis=1)[:, : k + 2] if d.shape[1] > k + 2 else np.tile(np.arange(d.shape[1]), (len(d), 1))
+        edge = np.take_along_axis(d, near, 1).max(1)
+        for n in range(len(d)):
+            # all rows at the edge are kept, so that ties are broken by id
+            at = np.nonzero(d[n] <= edge[n])[0]
+            yield from sorted(((qi[s + n], xi[j], d[n, j]) for j in at if xi[j] != qi[s + n]), key=lambda r: (r[2], r[1]))[:k]
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", col: str = "embedding", block: int = 4096, rows_a_block: int = 50_000) -> DataFrame:
     """(query_id, rank, id, distance): the ``k`` nearest other rows of each query, exactly, ties by id.
 
-    Queries are taken in blocks of at most ``block``, which bounds what is sent to the executors at a time; for each
-    block the rows are read once, each partition keeps its own ``k`` best by matrix products, and these are ranked. Null
-    vectors are left out; all must have one width.
+    Up to ``block`` queries are sent to the executors, which is checked; the rows are then read once, each partition keeps its
+    own ``k`` best, and these are ranked. More queries never pass the driver: rows and queries are dealt into blocks of
+    bounded size, and each block of rows meets each block of queries in a group of its own. Null vectors and ids are
+    left out; all vectors must have one width.
     """
     q = queries.where(F.col(col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, col)
     spark = vectors.sparkSession
     ship(spark)
     rows = vectors.where(F.col(col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, col)
     kind = vectors.schema[id_col].dataType.simpleString()
-    out = spark.createDataFrame([], f"query_id {kind}, id {kind}, distance double")
-    waiting: list = []
+    schema = f"query_id {kind}, id {kind}, distance double"
+    matrix = lambda s: np.stack(s.to_list()).astype(np.float64)
 
-    def take(part: list) -> DataFrame:
-        ids = np.array([r[0] for r in part], dtype=object)
-        m = np.array([r[1] for r in part], dtype=np.float64)
-        shared = spark.sparkContext.broadcast((ids, m))
+    few = q.limit(block + 1).collect()
+    if len(few) <= block:
+        shared = spark.sparkContext.broadcast((np.array([r[0] for r in few], dtype=object), np.array([r[1] for r in few], dtype=np.float64)))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qi, qm = shared.value
-            best: list = [[] for _ in qi]
+            best: dict = {}
             for pdf in frames:
-                if not len(pdf):
-                    continue
-                x, xi = np.stack(pdf[col].to_list()).astype(np.float64), pdf[id_col].to_numpy()
-                for s in range(0, len(qi), 256):
-                    d = ((qm[s : s + 256, None, :] - x[None, :, :]) ** 2).sum(-1) if len(x) * 256 * x.shape[1] <= 3e7 else np.stack([((x - y) ** 2).sum(1) for y in qm[s : s + 256]])
-                    near = np.argpartition(d, min(k + 1, d.shape[1] - 1), axis=1)[:, : k + 2] if d.shape[1] > k + 2 else np.tile(np.arange(d.shape[1]), (len(d), 1))
-                    edge = np.take_along_axis(d, near, 1).max(1)
-                    for n in range(len(d)):
-                        # all rows at the edge are kept, so that ties are broken by id
-                        at = np.nonzero(d[n] <= edge[n])[0]
-                        best[s + n] += [(d[n, j], xi[j]) for j in at if xi[j] != qi[s + n]]
-                        best[s + n] = sorted(best[s + n])[:k]
-            flat = [(qi[n], i, d) for n, b in enumerate(best) for d, i in b]
-            yield pd.DataFrame(flat, columns=["query_id", "id", "distance"])
-
-        return rows.mapInPandas(run, f"query_id {kind}, id {kind}, distance double")
-
-    for r in q.toLocalIterator():
-        waiting.append(r)
-        if len(waiting) == block:
-            out, waiting = out.unionByName(take(waiting)), []
-    if waiting:
-        out = out.unionByName(take(waiting))
+                if len(pdf) and len(qi):
+                    for q, i, d in _best(matrix(pdf[col]), pdf[id_col].to_numpy(), qm, qi, k):
+                        best.setdefault(q, []).append((d, i))
+                    for q, x in best.items():
+                        if len(x) > k:
+                            best[q] = sorted(x)[:k]
+            yield pd.DataFrame([(q, i, d) for q, x in best.items() for d, i in x], columns=["query_id", "id", "distance"])
+
+        out = rows.mapInPandas(run, schema)
+    else:
+        n_rows, n_q = max(1, -(-rows.count() // rows_a_block)), max(1, -(-q.count() // block))
+        deal = lambda n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = rows.select(deal(n_rows).alias("r"), every(n_q).alias("q"), F.col(id_col).alias("id"), F.col(col).alias("v"))
+        b = q.select(every(n_rows).alias("r"), deal(n_q).alias("q"), F.col(id_col).alias("id"), F.col(col).alias("v"))
+
+        def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            got = _best(matrix(x["v"]), x["id"].to_numpy(), matrix(y["v"]), y["id"].to_numpy(), k) if len(x) and len(y) else []
+            return pd.DataFrame(got, columns=["query_id", "id", "distance"])
+
+        out = a.groupBy("r", "q").cogroup(b.groupBy("r", "q")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 

@@ -248,6 +248,39 @@ def html_texts(spark, d):
 # ---- facts
 
 
+# files with anchors, and the text at them: (case, html, anchor, stop, Markdown)
+_PAGE = '<html><head><title>t</title></head><body><nav>menu</nav><p>Intro <i>text</i>.</p><section id="a"><h2>A</h2><p>ta</p><section><p>inner</p></section></section><h2 id="h">H</h2><p>th</p><script>x()</script><div><p>more</p><p id="stop">z</p></div><p class="chapter"><a name="old"></a>C</p><p>tc <b>bold</b></p><ul><li>one</li><li>two</li></ul></body></html>'
+HTML_CASES = (
+    ("container", _PAGE, "a", None, "## A\n\nta"),
+    ("heading to stop", _PAGE, "h", "stop", "## H\n\nth\n\nmore"),
+    ("name in a paragraph like a heading", _PAGE, "old", None, "C\n\ntc **bold**\n\n * one\n * two"),
+    ("paragraph in a block", _PAGE, "stop", None, "more\n\nz\n\nC\n\ntc **bold**\n\n * one\n * two"),
+    ("no anchor", _PAGE, None, None, "Intro _text_."),
+    ("missing anchor", _PAGE, "zz", None, None),
+    ("whole body", "<html><body id='b'><p>One</p><p>Two</p></body></html>", "b", None, "One\n\nTwo"),
+    ("next section", '<html><body><h1 id="sec7-1">7.1</h1><p>First.</p><h1 id="sec7-2">7.2</h1><p>Second.</p></body></html>', "sec7-1", "sec7-2", "# 7.1\n\nFirst."),
+    ("heading behind the anchor", '<html><body><p>x</p><a id="k"></a><h3>K</h3><p>tk</p></body></html>', "k", None, "### K\n\ntk"),
+    ("heading around the anchor", '<html><body><h4><span id="s">S</span></h4><p>ts</p><hr/><blockquote><p>said</p></blockquote></body></html>', "s", None, "#### S\n\nts\n\n* * *\n\n> said"),
+    ("broken markup", "<html><body><p id='m'>one<p>two<ul><li>a<li>b</ul>", "m", None, "one\n\ntwo\n\n * a\n * b"),
+    ("empty", "", None, None, None),
+)
+
+
+def html_cases(spark, d):
+    """Texts at the anchors of files that show each way an anchor is understood."""
+    rows = spark.createDataFrame([("b", n, f"{k}.xhtml", a, s) for k, (n, _, a, s, _) in enumerate(HTML_CASES)], "book_id string, id string, file string, anchor string, stop_anchor string")
+    files = spark.createDataFrame([("b", f"./{k}.xhtml", h) for k, (_, h, _, _, _) in enumerate(HTML_CASES)], "book_id string, path string, html string")
+    return html.extract_texts(rows, files).select("id", "markdown")
+
+
+def pdf_contents(spark, d):
+    """Contents of scanned documents: those of every other book have an outline of their own."""
+    s = _spans(spark, d)
+    o = s.groupBy("doc_id").agg(F.max("page").alias("n")).where("length(doc_id) > 0 AND conv(substr(doc_id, -1), 16, 10) % 2 = 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(3)))).alias("page"))
+    o = o.select("doc_id", (F.col("page") * 10).alias("toc_order"), F.when(F.col("page") == 1, 1).otherwise(2).alias("level"), F.when(F.col("page") < 3, F.concat(F.lit(" Part "), F.col("page").cast("string"))).alias("title"), "page")
+    return pdf.contents(o, s)
+
+
 def fact_checks(spark, d):
     """Facts with their coerced rank, weights, span, and the rules they break."""
     f = table(spark, d, "atomic_facts")
@@ -316,11 +349,34 @@ def fact_limits(spark, d):
 
 
 def _validations(spark, d):
+    return audit.read_validations(_validation_replies(spark, d))
+
+
+def _validation_replies(spark, d):
+    # stored replies: a status by rule for each fact of a summary's section, as JSON that is wrapped in several ways
     s = table(spark, d, "summaries").where("id IS NOT NULL").dropDuplicates(["id"]).select(F.col("id").alias("report_id"), "section_id", "text", "attempt_number")
     f = table(spark, d, "atomic_facts").where("id IS NOT NULL").dropDuplicates(["id"]).select(F.col("id").alias("atomic_fact_id"), "section_id", "point")
     k = (F.length(F.coalesce("point", F.lit(""))) + F.length(F.coalesce("text", F.lit("")))) % 4
     status = F.when(k == 0, "found").when(k == 1, "partial").when(k == 2, "missing").otherwise("contradicted")
-    return s.join(f, "section_id").select("report_id", "atomic_fact_id", status.alias("status"), F.lit(None).cast("string").alias("evidence"), ((F.length(F.coalesce("point", F.lit(""))) % 101) / 100).alias("confidence"))
+    n = F.length(F.coalesce("point", F.lit("")))
+    one = F.struct(F.col("atomic_fact_id").alias("fact_id"), F.when(n % 3 == 0, F.upper(status)).otherwise(status).alias("status"), ((n % 101) / 100).alias("confidence"))
+    g = s.join(f, "section_id").select("report_id", one.alias("o")).groupBy("report_id").agg(F.to_json(F.collect_list("o")).alias("j"))
+    k = F.conv(F.substring("report_id", -1, 1), 16, 10).cast("int") % 4
+    odd = F.concat(F.lit('[{"fact_id": null, "status": "found"}, {"fact_id": "x", "status": "perhaps"}, 7, '), F.substring("j", 2, 1 << 30))
+    content = F.when(k == 0, F.col("j")).when(k == 1, F.concat(F.lit('{"results": '), "j", F.lit(', "note": None}'))).when(k == 2, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).otherwise(odd)
+    return g.select("report_id", content.alias("content"))
+
+
+def validations_read(spark, d):
+    """Validations read from stored replies."""
+    return _validations(spark, d).drop("improved")
+
+
+def summary_previous(spark, d):
+    """The attempt before each summary, with its score and digest."""
+    r = _scored(spark, d).withColumn("summary_id", F.col("report_id"))
+    p = audit.previous(table(spark, d, "summaries"), r, _validations(spark, d))
+    return p.select("id", "attempt", "previous_id", "previous_report", F.round("previous_score", 6).alias("previous_score"), "digest")
 
 
 def _reports(spark, d):
@@ -440,9 +496,9 @@ def customers_without_orders(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     section_profile, clean_text, sentence_counts, chunks_small, chunks_default, file_kinds, rejected_files, ingest_state, sections_latest, attached_sections, href_titles, pdf_titles,
-    toc_tree, toc_path_ids, toc_under_path, toc_subtrees, toc_stop_anchors, toc_page_ranges, stable_ids_epub, stable_ids_pdf, pdf_headings, pdf_pages, pdf_range_texts, html_texts,
+    toc_tree, toc_path_ids, toc_under_path, toc_subtrees, toc_stop_anchors, toc_page_ranges, stable_ids_epub, stable_ids_pdf, pdf_headings, pdf_pages, pdf_range_texts, pdf_contents, html_texts, html_cases,
     fact_checks, rank_names, facts_released, facts_grounding, fact_hints, facts_read, extraction_status, chunks_not_yet, fact_limits,
-    summary_gates, summary_lengths, summary_attempts, latest_attempts, score_as_built, score_documented, score_deltas, audit_feedback, audit_outcomes, audit_history,
+    summary_gates, summary_lengths, summary_attempts, latest_attempts, validations_read, summary_previous, score_as_built, score_documented, score_deltas, audit_feedback, audit_outcomes, audit_history,
     vector_search, vector_neighbours, job_states, event_windows, order_rollup, top_orders, customers_without_orders,
 )}
 
@@ -508,6 +564,14 @@ SELECT g.book_id, g.id, g.ord, g.file, g.anchor, (SELECT arg_min(h.anchor, h.ord
 r AS (SELECT hd.doc_id, hd.doc_id || '-' || CAST(toc_order AS VARCHAR) AS id, u.s, coalesce(u.e, (SELECT max(page) + 1 FROM sp WHERE sp.doc_id = u.doc_id)) AS e FROM hd JOIN u ON u.doc_id = hd.doc_id AND u.s = CAST(hd.href AS INT)),
 x AS (SELECT r.doc_id, r.id, string_agg(markdown, chr(10)||chr(10) ORDER BY page) AS t FROM r JOIN pg ON pg.doc_id = r.doc_id AND page >= s AND page < e AND markdown <> '' GROUP BY r.doc_id, r.id)
 SELECT * FROM (SELECT doc_id AS book_id, id, {_CLEAN} AS text FROM x) WHERE text <> ''""",
+    "html_cases": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (n, m)) + ")" for n, _, _, _, m in HTML_CASES if m) + ") t(id, markdown)",
+    "pdf_contents": f"""WITH {_SPAN}, {_HEADS}, o AS (SELECT doc_id, unnest(range(1, least(max(page), 3) + 1)) AS p FROM sp WHERE CAST('0x' || right(doc_id, 1) AS INT) % 2 = 0 GROUP BY doc_id)
+SELECT doc_id, CAST(p AS INT) AS toc_order, CASE WHEN p = 1 THEN 1 ELSE 2 END AS level, CASE WHEN p < 3 THEN 'Part ' || p ELSE 'Untitled' END AS title, CAST(p AS VARCHAR) AS href FROM o
+UNION ALL SELECT doc_id, toc_order, 1, title, href FROM hd WHERE CAST('0x' || right(doc_id, 1) AS INT) % 2 = 1""",
+    "validations_read": f"WITH {_V} SELECT report_id, atomic_fact_id, status, '' AS evidence, confidence FROM v",
+    "summary_previous": f"WITH {_V}, {_score('rank', 'confidence')}, g AS (SELECT report_id, " + " || chr(10) || ".join(f"'  {s.capitalize():<14}' || coalesce(string_agg(atomic_fact_id, ', ' ORDER BY atomic_fact_id) FILTER (WHERE status = '{s}'), 'none')" for s in ("found", "partial", "missing", "contradicted")) + """ AS digest FROM v GROUP BY report_id),
+p AS (SELECT report_id AS id, attempt, lag(report_id) OVER (PARTITION BY section_id ORDER BY attempt) AS previous_id FROM rep)
+SELECT p.id, attempt, previous_id, sc.report_id AS previous_report, round(score, 6) AS previous_score, digest FROM p LEFT JOIN sc ON sc.report_id = previous_id LEFT JOIN g ON g.report_id = previous_id""",
     "fact_checks": "SELECT id, CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS tier, 4 - CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS weight, array_to_string(list_filter([CASE WHEN end_char <= start_char THEN 'span' END, CASE WHEN point IS NULL THEN 'point' END], lambda x: x IS NOT NULL), ',') AS broken FROM atomic_facts",
     "rank_names": "SELECT CASE length(coalesce(point, '')) % 8 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 3 END AS tier, count(*) AS n FROM atomic_facts GROUP BY 1",
     "facts_released": "SELECT id, section_id FROM atomic_facts WHERE section_id IN (SELECT id FROM (SELECT id, arg_max(extraction_status, created_at) AS s FROM sections GROUP BY id) WHERE s = 'DONE')",

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
+import shutil
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -157,6 +159,52 @@ def append_vectors(chunks: DataFrame, path: str, col: str = "vector") -> None:
     append(chunks.withColumn(col, ok), path, "book_id")
 
 
+def vectors(spark: SparkSession, path: str, book_id: str | None = None, section_id: str | None = None) -> DataFrame:
+    """Chunks of a table with vectors, of one book or section if asked; a book's folder alone is read."""
+    v = spark.read.parquet(path)
+    if book_id is not None:
+        v = v.where(F.col("book_id") == book_id)
+    return v.where(F.col("section_id") == section_id) if section_id is not None else v
+
+
+def delete_vectors(spark: SparkSession, path: str, book_id: str) -> bool:
+    """Remove the chunks of one book from a table in folders by book; whether there were any. No other folder is touched."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(book_id)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/book_id={name}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unzip_epubs(files: DataFrame, root: str) -> DataFrame:
+    """(book_id, folder, n_files, error): the files of each EPUB (book_id, content) put under ``root``/book_id, which all executors must see.
+
+    What was there before is removed first. Names that lead out of the folder are an error, as is a file that is no
+    archive; such a book has no folder. Acting upon the result twice does it twice, with the same outcome.
+    """
+    ship(files.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for book, content in zip(pdf["book_id"], pdf["content"]):
+                to = os.path.join(root, book)
+                try:
+                    if os.path.basename(to) != book or book in ("", ".", ".."):
+                        raise ValueError("a book's id can't be a folder's name")
+                    z = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                    names = [n for n in z.namelist() if not n.endswith("/")]
+                    if any(os.path.isabs(n) or ".." in n.split("/") for n in names):
+                        raise ValueError("a name leads out of the folder")
+                    shutil.rmtree(to, ignore_errors=True)
+                    os.makedirs(to)
+                    z.extractall(to)
+                    out.append((book, to, len(names), None))
+                except Exception as e:  # one broken file must not stop the others
+                    out.append((book, None, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["book_id", "folder", "n_files", "error"])
+
+    return files.where("book_id IS NOT NULL AND content IS NOT NULL").select("book_id", "content").mapInPandas(run, "book_id string, folder string, n_files int, error string")
+
+
 def without_keys(df: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key isn't among the given ones; rows with a null key stay."""
     return df.join(keys.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -29,9 +31,21 @@ def windowed(events: DataFrame, time: str, width: str, late: str, *by: str) -> D
 
 
 def drained(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """The result of a stream over all that is there now, as a table; its checkpoint is in the shared folder."""
+    """The result of a stream over all that is there now, as a table in the shared folder; nothing of it passes the driver.
+
+    Each batch writes a folder of its own, which a batch that is tried again replaces. In complete mode the last batch is
+    the result, in the others all of them are.
+    """
     spark = stream.sparkSession
-    at = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{spark.sparkContext.applicationId}-{abs(hash(stream._jdf.toString() + str(id(stream))))}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={n}")
+        last[:] = [n]
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    own = f"{at}/rows/batch={last[0]}" if mode == "complete" else f"{at}/rows"
+    return spark.read.schema(stream.schema).parquet(own)

@@ -139,3 +139,36 @@ def test_providers(spark):
         return "ok"
 
     assert providers.with_retries(flaky, 3, 0)("s", "u") == "ok"
+
+
+def _attempts(spark):
+    s = spark.createDataFrame([("m1", "s", "first try", 1), ("m2", "s", "second try", 2), ("m3", "s", None, 3), ("m1", "s", "first try", 1), ("n1", "t", "alone", 1), (None, "t", "x", 2)], "id string, section_id string, text string, submitted_at int")
+    r = spark.createDataFrame([("r1", "m1", 66.665), ("r0", "m1", 1.0), ("r2", "m2", 70.0)], "report_id string, summary_id string, score double")
+    v = spark.createDataFrame([("r1", "f1", "found"), ("r1", "f2", "missing")], "report_id string, atomic_fact_id string, status string")
+    return s, r, v
+
+
+def test_previous_attempts_and_prompts(spark):
+    s, r, v = _attempts(spark)
+    p = audit.previous(s, r, v)
+    got = {x.id: x for x in p.collect()}
+    assert set(got) == {"m1", "m2", "m3", "n1"} and got["m1"].previous_id is None and got["n1"].previous_report is None
+    assert (got["m2"].previous_id, got["m2"].previous_report, got["m2"].previous_score, got["m2"].previous_text) == ("m1", "r1", 66.665, "first try")
+    assert "Found         f1" in got["m2"].digest and got["m3"].previous_report == "r2" and got["m3"].digest is None
+    f = spark.createDataFrame([("f1", "s", 1, "p1", None)], "id string, section_id string, rank int, point string, created_at timestamp")
+    q = {x.id: x.user for x in audit.validation_prompts(s, f, p).collect()}
+    assert set(q) == {"m1", "m2", "m3"} and "first attempt" in q["m1"] and '"point":"p1"' in q["m1"]
+    assert "Attempt 1 scored 66.6" in q["m2"] and "first try" in q["m2"] and "Missing       f2" in q["m2"]
+    assert "Missing       none" in q["m3"] and audit.of_section(s, "t").count() == 2
+
+
+def test_audits_are_stored(spark, tmp_path):
+    s, r, v = _attempts(spark)
+    for _ in range(2):
+        audit.store(str(tmp_path), s.withColumn("submitted_at", F.lit(None)), r.withColumnRenamed("report_id", "id"), v)
+    from folio import schema
+
+    for name, n in (("summary", 12), ("report", 6), ("validation", 4)):
+        t = spark.read.parquet(f"{tmp_path}/{name}")
+        assert t.count() == n and t.columns == getattr(schema, name.upper()).names
+    assert audit.of_fact(v, "f1").count() == 1 and audit.of_report(v, "r1").count() == 2 and audit.of_report(v, "zz").count() == 0

@@ -1,7 +1,10 @@
 import io
+import os
+import random
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from folio.operators import html, pdf, toc, vector
@@ -110,3 +113,42 @@ def test_streams(spark, tmp_path):
     s = jobs.table_stream(spark, str(tmp_path), df.schema, "*")
     got = jobs.drained(jobs.latest(spark.readStream.schema(df.schema).parquet(str(tmp_path / "t.parquet")), "k", "t", "v", "v"), "test_latest")
     assert s.isStreaming and {r.k: r.v for r in got.collect()} == {1: "b", 2: "c"}
+
+
+def test_vectors_by_book_and_section(spark, tmp_path):
+    at = str(tmp_path / "v")
+    c = spark.createDataFrame([("1", "a b", "s", [1.0]), ("2", "a b", "t", [2.0]), ("3", "c", "s", [3.0])], "id string, book_id string, section_id string, vector array<float>")
+    books.append_vectors(c, at)
+    assert [r.id for r in books.vectors(spark, at, "a b").orderBy("id").collect()] == ["1", "2"] and [r.id for r in books.vectors(spark, at, "a b", "t").collect()] == ["2"]
+    assert [r.id for r in books.vectors(spark, at, section_id="s").orderBy("id").collect()] == ["1", "3"]
+    assert books.delete_vectors(spark, at, "a b") and not books.delete_vectors(spark, at, "zz")
+    assert [r.id for r in books.vectors(spark, at).collect()] == ["3"]
+    with pytest.raises(Exception, match="no vector"):
+        books.append_vectors(spark.createDataFrame([("4", "c", "s", None)], c.schema), at)
+    assert vector.of_width(c, "vector", 1).count() == 3
+    with pytest.raises(Exception, match="width"):
+        vector.of_width(c, "vector", 2).collect()
+    assert [r.id for r in books.without_keys(c, spark.createDataFrame([("1",), ("3",)], "id string")).collect()] == ["2"]
+
+
+def test_many_queries_meet_rows_in_blocks(spark):
+    rng = random.Random(5)
+    v = spark.createDataFrame([(k, [float(rng.randint(0, 3)) for _ in range(4)]) for k in range(150)] + [(900, None), (None, [0.0] * 4)], "vec_id long, embedding array<float>")
+    one = sorted(vector.nearest(v, v, 3).collect())
+    assert one == sorted(vector.nearest(v, v, 3, block=40, rows_a_block=60).collect()) and len(one) == 450
+    assert vector.nearest(v, v.limit(0), 3).count() == 0 and vector.nearest(v.limit(0), v, 3).count() == 0
+
+
+def test_unzip(spark, tmp_path):
+    def book(**files):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            for n, x in files.items():
+                z.writestr(n.replace("__", "/"), x)
+        return b.getvalue()
+
+    f = spark.createDataFrame([("a", book(O__x="1", y="2")), ("b", b"no archive"), ("c", book(**{"..__out": "3"})), ("../d", book(y="4")), (None, book(y="5"))], "book_id string, content binary")
+    for _ in range(2):
+        got = {r.book_id: r for r in books.unzip_epubs(f, str(tmp_path)).collect()}
+    assert (tmp_path / "a" / "O" / "x").read_text() == "1" and got["a"].n_files == 2 and got["a"].error is None
+    assert set(got) == {"a", "b", "c", "../d"} and all(got[k].error and got[k].folder is None for k in ("b", "c", "../d")) and os.listdir(tmp_path) == ["a"]
