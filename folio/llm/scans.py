@@ -28,6 +28,12 @@ from folio.session import cut, ship
 WORD_BITS, PAIR_BITS = 20, 21
 #: Quantisation of logarithms of counts.
 STEP = 8.0
+#: How many readings of a word's marks are followed side by side, the likeliest; all of them for up to four marks.
+BEAM = 256
+#: How many confusions of letters are undone in a word, beside all its marks.
+LETTERS = 2
+#: What is longer is in no dictionary and stays as it is.
+LONGEST = 80
 
 # What a scan shows, and what the page had.
 CONFUSIONS = r"""
@@ -179,13 +185,15 @@ class Channel:
                 k = 2 if shown[i : i + 2] in self.undo and ch == "\\" else 1
                 ways = self.undo.get(shown[i : i + k], ())
                 out = [(w + true, lp + l, (*used, (shown[i : i + k], true))) for w, lp, used in out for true, l in ways]
+                if len(out) > BEAM:
+                    out = sorted(out, key=lambda x: -x[1])[:BEAM]
             i += k
         return out
 
     def candidates(self, shown: str) -> list[tuple[str, float, tuple]]:
         """(word, log P(shown | word) + log P(word), confusions) with the word as shown first; only itself if nothing else fits.
 
-        All marks that no word has are undone, up to four of them, and up to two confusions of letters beside them.
+        All marks that no word has are undone, and up to LETTERS confusions of letters beside them. What is mostly marks, or longer than LONGEST, is no word.
         """
         got = self._seen.get(shown)
         if got is not None:
@@ -196,16 +204,16 @@ class Channel:
         marks = sum(not (ch.isalpha() or ch in "-'’") for ch in shown)
         own = 0.0 if marks else src.count(shown)
         best: dict[str, tuple[float, float, tuple]] = {}
-        if marks <= 4 and len(shown) <= 40 and marks < 0.6 * len(shown) and own < max(src.least, n * 2e-4):
+        if len(shown) <= LONGEST and marks < 0.6 * len(shown) and own < max(src.least, n * 2e-4):
             wave = [(w, lp, used, 0) for w, lp, used in (self._letters_only(shown) if marks else [(shown, 0.0, ())])]
-            for depth in range(3):
+            for depth in range(LETTERS + 1):
                 nxt = []
                 for w, lp, used, lo in wave:
                     if used and (w not in best or best[w][0] < lp):
                         c = src.count(w)
                         if c >= src.least and c > own:
                             best[w] = (lp, c, used)
-                    if depth < 2 and not (depth and best):
+                    if depth < LETTERS and not (depth and best):
                         nxt += [(w[:i] + true + w[j:], lp + l, (*used, conf), i + len(true)) for i, j, true, l, conf in self._sites(w, lo)]
                 wave = nxt
         # scans of the candidates alone may have put the word into the corpus about so often; then that is no evidence of it

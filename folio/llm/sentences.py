@@ -447,8 +447,9 @@ def word_steps(t: DataFrame) -> Words:
     """The words of (section_id, raw_text). Five numbers a bucket reach the driver, so the size of the table bounds it."""
     sums = [F.sum(c).alias(c) for c in ("start", "inside", "bare")]
     n = t.select("raw_text").mapInArrow(count_words, "g byte, b int, start long, inside long, bare long").groupBy("g", "b").agg(*sums)
-    # words of two scripts in one bucket are told apart no further
-    rows = n.groupBy("b", (F.col("g") < 0).alias("whole")).agg(F.max_by("g", F.col("start") + F.col("inside")).alias("g"), *sums).toArrow()
+    # words of two scripts in one bucket are told apart no further; counts go as 32 bits, which no ratio depends on beyond that
+    rows = n.groupBy("b", (F.col("g") < 0).alias("whole")).agg(F.max_by("g", F.col("start") + F.col("inside")).alias("g"), *sums)
+    rows = rows.select("b", "g", *(F.least(F.col(c), F.lit(2**31 - 1)).cast("int").alias(c) for c in ("start", "inside", "bare"))).toArrow()
     return Words.of(*(rows.column(k).to_numpy() for k in ("b", "g", "start", "inside", "bare")))
 
 

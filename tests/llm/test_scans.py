@@ -111,3 +111,16 @@ def test_found(spark, data):
     got = queries.p1_found(spark, data)
     assert got.columns == ["section_id", "line_no", "noise"]
     assert {r.noise for r in got.select("noise").distinct().collect()} <= {"hyphen", "chars", "header", "page_number"} and got.count() == got.distinct().count()
+
+
+def test_words_with_many_marks_and_very_long_ones():
+    # seven marks in one word, and a word of more than forty letters with one
+    long = "donaudampfschifffahrtselektrizitaetenhauptbetrieb"
+    # where scans misread often, the score lets many marks be undone
+    fix = scans.Repair(scans.Channel(_source(CORPUS + f"understatedness {long} " * 60), {c: 3e-2 for c in scans.CONFUSIONS}))
+    best = max(fix.channel.candidates("under5+@+edne55"), key=lambda x: x[1])
+    assert best[0] == "understatedness" and len(best[2]) == 6
+    best = max(fix.channel.candidates(long.replace("schiff", "sch!ff")), key=lambda x: x[1])
+    assert best[0] == long
+    assert fix.channel.candidates("c" * 5000) == [("c" * 5000, fix.channel.candidates("c" * 5000)[0][1], ())]
+    assert len(fix.channel.candidates("6" * 12 + "a" * 14)) == 1
