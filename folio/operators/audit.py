@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folio.config import Settings
 from folio.functions.text import word_count
 from folio.operators.facts import filled, lenient_json, tier, weight
 from folio.schema import FACT_STATUS, REPORT, SUMMARY, VALIDATION
 from folio.sources.books import append
 
 
-def long_enough(summaries: DataFrame, least: int = 50) -> tuple[DataFrame, DataFrame]:
+def long_enough(summaries: DataFrame, least: int = Settings.min_summary_words) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): summaries with at least ``least`` words, and the others; null texts have none."""
     n = word_count(F.col("text"))
     return summaries.where(n >= least), summaries.where(n < least)
 
 
-def gated(summaries: DataFrame, sections: DataFrame, facts: DataFrame, least: int = 50) -> DataFrame:
+def gated(summaries: DataFrame, sections: DataFrame, facts: DataFrame, least: int = Settings.min_summary_words) -> DataFrame:
     """(id, section_id, reason) of each summary: why it can't be audited, null if it can.
 
     The reasons are, in this order, ``no such section``, ``section not done``, ``too short`` and ``no facts``.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folio.config import Settings
 from folio.schema import span_ok
 
 
@@ -149,7 +150,7 @@ def filled(template: str, **values: Column) -> Column:
     return out
 
 
-def hint_prompts(facts: DataFrame, count: int = 5) -> DataFrame:
+def hint_prompts(facts: DataFrame, count: int = Settings.max_hints) -> DataFrame:
     """(section_id, system, user): what a model is asked for ``count`` questions on the facts of each section, critical ones first.
 
     Facts of one rank follow their time of creation and id; null points are left out, and sections without a point have no row.
@@ -160,7 +161,7 @@ def hint_prompts(facts: DataFrame, count: int = 5) -> DataFrame:
     return f.groupBy("section_id").agg(lines.alias("facts")).select("section_id", F.lit(HINT_SYSTEM).alias("system"), filled(HINT_USER, count=F.lit(str(count)), facts=F.col("facts")).alias("user"))
 
 
-def read_hints(replies: DataFrame, most: int = 5) -> DataFrame:
+def read_hints(replies: DataFrame, most: int = Settings.max_hints) -> DataFrame:
     """(section_id, hint_no, hint) of replies (section_id, content) that are lists of texts; other items are left out, and at most ``most`` kept."""
     r = replies.select("section_id", F.posexplode(F.try_variant_get(lenient_json(F.col("content"), keys=("questions", "hints", "result", "data", "items")), "$", "array<variant>")).alias("nth", "x"))
     r = r.where(F.schema_of_variant("x") == "STRING").select("section_id", "nth", F.trim(F.try_variant_get("x", "$", "string")).alias("hint")).where("hint <> ''")
@@ -168,13 +169,13 @@ def read_hints(replies: DataFrame, most: int = 5) -> DataFrame:
     return r.withColumn("hint_no", F.row_number().over(w)).where(F.col("hint_no") <= most).select("section_id", "hint_no", "hint")
 
 
-def map_prompts(sections: DataFrame, tokens: Column, more_than: int = 4000) -> DataFrame:
+def map_prompts(sections: DataFrame, tokens: Column, more_than: int = Settings.large_section_tokens) -> DataFrame:
     """(section_id, system, user): what a model is asked for the outline of each section (id, raw_text) of more than so many tokens; null texts have none."""
     s = sections.where(F.col("id").isNotNull() & F.col("raw_text").isNotNull()).dropDuplicates(["id"]).where(tokens > more_than)
     return s.select(F.col("id").alias("section_id"), F.lit(MAP_SYSTEM).alias("system"), filled(MAP_USER, text=F.col("raw_text")).alias("user"))
 
 
-def hints(facts: DataFrame, most: int = 5) -> DataFrame:
+def hints(facts: DataFrame, most: int = Settings.max_hints) -> DataFrame:
     """(section_id, hint_no, hint): the first question of each fact that has one, critical facts first, at most ``most`` a section.
 
     Facts of one rank follow their time of creation and id. As in a service that checks its limit after adding, the first

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from folio.config import Settings
 from folio.operators.running import running
 from folio.session import stored
 
@@ -36,7 +37,7 @@ def _ord(k: int) -> Column:
     return F.coalesce(F.col(f"l{k}.ord"), F.lit(0))
 
 
-def tree(toc: DataFrame, deepest: int = 8) -> DataFrame:
+def tree(toc: DataFrame, deepest: int = Settings.deepest_level) -> DataFrame:
     """(book_id, id, title, level, href, section_id, ord, parent_ord, kept, breadcrumb) of each row.
 
     ``parent_ord`` is the nearest earlier row of a lower level, null for none. ``kept`` says whether the row belongs to
@@ -54,7 +55,7 @@ def tree(toc: DataFrame, deepest: int = 8) -> DataFrame:
     return at.select("book_id", "id", "title", "level", "href", "section_id", "ord", F.when(parent > 0, parent).alias("parent_ord"), kept.alias("kept"), F.when(kept, F.concat_ws(" > ", *crumb)).alias("breadcrumb"))
 
 
-def path_ids(toc: DataFrame, deepest: int = 8) -> DataFrame:
+def path_ids(toc: DataFrame, deepest: int = Settings.deepest_level) -> DataFrame:
     """(book_id, id, level, ord, path_id): paths such as 001.002.004 that count the rows of a level since the last row above it, in three digits or as many as it takes."""
     flat = numbered(toc)
     at = _lasts(flat, deepest)
@@ -78,7 +79,7 @@ def under_path(paths: DataFrame, prefix: str) -> DataFrame:
     return paths.where((p == prefix) | p.startswith(prefix + ".")).withColumn("parent_path", F.when(F.col("level") > 1, F.regexp_replace(p, r"\.[0-9]+$", "")))
 
 
-def subtrees(toc: DataFrame, deepest: int = 8) -> DataFrame:
+def subtrees(toc: DataFrame, deepest: int = Settings.deepest_level) -> DataFrame:
     """(book_id, id, level, href, ord, end_ord, descendants, has_children, is_chapter, has_content) of each row.
 
     The descendants of a row are those from the next one up to, without it, ``end_ord``: the next row of its level or
@@ -108,7 +109,7 @@ def href_anchor(c: Column) -> Column:
     return F.when(a != "", a)
 
 
-def stop_anchors(toc: DataFrame, deepest: int = 8) -> DataFrame:
+def stop_anchors(toc: DataFrame, deepest: int = Settings.deepest_level) -> DataFrame:
     """(book_id, id, ord, file, anchor, stop_anchor): where the text of each row with a href ends within its file.
 
     The stop is the first later row that is no descendant and has an anchor, before the first row of another file.
@@ -136,7 +137,7 @@ def page_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:
     return at.join(page.select("book_id", "start_page", "end_page"), ["book_id", "start_page"]).select("book_id", "id", "start_page", "end_page")
 
 
-def stable_ids(books: DataFrame, toc: DataFrame, deepest: int = 8, with_page: bool = False) -> DataFrame:
+def stable_ids(books: DataFrame, toc: DataFrame, deepest: int = Settings.deepest_level, with_page: bool = False) -> DataFrame:
     """(book_id, stable_id): SHA-256 over the title and, in reading order, depth and title of each kept row, with its href if asked."""
     t = tree(toc, deepest).where("kept")
     part = F.concat_ws(":", F.col("level").cast("string"), F.coalesce("title", F.lit("")), *([F.coalesce("href", F.lit(""))] if with_page else []))

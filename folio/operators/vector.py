@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
+from folio.config import Settings
 from folio.session import ship
 
 
@@ -18,7 +19,7 @@ def squared_distance(v: Column, query: list[float] | Column) -> Column:
     return F.aggregate(F.zip_with(v, q, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
 
 
-def of_width(vectors: DataFrame, col: str, width: int) -> DataFrame:
+def of_width(vectors: DataFrame, col: str, width: int = Settings.vector_width) -> DataFrame:
     """``vectors``, with an error for a vector that is null or of another width."""
     bad = F.col(col).isNull() | (F.size(col) != width)
     return vectors.withColumn(col, F.when(bad, F.raise_error(F.lit(f"a vector isn't of width {width}")).cast(vectors.schema[col].dataType)).otherwise(F.col(col)))
@@ -94,7 +95,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
 
-def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = 40, text_col: str = "text") -> DataFrame:
+def embed(chunks: DataFrame, provider: Callable[[list[str]], list[list[float]]], batch: int = Settings.embed_batch, text_col: str = "text") -> DataFrame:
     """``chunks`` with a column ``vector``: texts go to the provider in batches, on the executors, and their order is kept.
 
     A provider that returns another number of vectors than texts is an error. Null texts have null vectors.

@@ -58,7 +58,7 @@ def chunks_default(spark, d):
     s = _once(spark, d).select(F.col("id").alias("section_id"), "raw_text")
     t = table(spark, d, "toc_entries").where("section_id IS NOT NULL").groupBy("section_id").agg(F.min(F.struct("id", "title", "book_id")).alias("t")).select("section_id", F.col("t.title").alias("section_title"), F.col("t.book_id").alias("book_id"))
     b = _once(spark, d, "books").select(F.col("id").alias("book_id"), F.col("title").alias("book_title"))
-    j = s.join(t, "section_id").join(b, "book_id", "left").withColumn("chapter_title", F.lit(None).cast("string"))
+    j = s.join(t, "section_id", "left").join(b, "book_id", "left").withColumn("chapter_title", F.lit(None).cast("string"))
     return chunk.chunks(j).select("section_id", "chunk_index", "text", "word_count", "start_char", "end_char", "chunk_level")
 
 
@@ -114,7 +114,7 @@ SELECT id AS section_id, c AS chunk_index, text, body, {_LEVEL}, {_SIZES}, ctx A
 _CHUNK_DEFAULT = _chunk_sql(800, 200, 1500, rf"""
 tt AS (SELECT section_id AS id, arg_min(title, e.id) AS title, arg_min(book_id, e.id) AS book_id FROM toc_entries e WHERE section_id IS NOT NULL GROUP BY section_id),
 bb AS (SELECT id AS book_id, any_value(title) AS book_title FROM books GROUP BY id)
-SELECT tx.id AS section_id, c AS chunk_index, '[' || coalesce(book_title, 'Unknown Book') || ' > ' || coalesce(tt.title, 'Unknown Section') || ']' || chr(10) || text AS text, {_SIZES}, {_LEVEL} FROM tx JOIN tt USING (id) LEFT JOIN bb USING (book_id)""")
+SELECT tx.id AS section_id, c AS chunk_index, '[' || coalesce(book_title, 'Unknown Book') || ' > ' || coalesce(tt.title, 'Unknown Section') || ']' || chr(10) || text AS text, {_SIZES}, {_LEVEL} FROM tx LEFT JOIN tt USING (id) LEFT JOIN bb USING (book_id)""")
 
 # ---- books, sources
 
@@ -511,7 +511,7 @@ _KEPT = _PAR + """, k AS (SELECT book_id, ord, level, coalesce(title, '') AS cru
  UNION ALL SELECT p.book_id, p.ord, p.level, k.crumb || ' > ' || coalesce(p.title, '') FROM p JOIN k ON p.book_id = k.book_id AND p.parent_ord = k.ord AND p.level = k.level + 1)"""
 _END = f"WITH {_FLAT}, e AS (SELECT f.*, coalesce((SELECT min(g.ord) FROM f g WHERE g.book_id = f.book_id AND g.ord > f.ord AND g.level <= f.level), (SELECT max(g.ord) + 1 FROM f g WHERE g.book_id = f.book_id)) AS end_ord FROM f)"
 _PATHS = _PAR + """, a AS (SELECT p.*, i.l AS lv, (SELECT count(*) FROM p g WHERE g.book_id = p.book_id AND g.level = i.l AND g.ord <= p.ord AND g.ord > coalesce((SELECT max(h.ord) FROM p h WHERE h.book_id = p.book_id AND h.ord <= p.ord AND h.level < i.l), 0)) AS c
- FROM p, (SELECT unnest(range(1, 9)) AS l) i WHERE i.l <= p.level), paths AS (SELECT book_id, id, level, string_agg(lpad(CAST(c AS VARCHAR), 3, '0'), '.' ORDER BY lv) AS path_id FROM a GROUP BY book_id, id, level)"""
+ FROM p, (SELECT unnest(range(1, 9)) AS l) i WHERE i.l <= p.level), paths AS (SELECT book_id, id, level, string_agg(CASE WHEN c < 1000 THEN lpad(CAST(c AS VARCHAR), 3, '0') ELSE CAST(c AS VARCHAR) END, '.' ORDER BY lv) AS path_id FROM a GROUP BY book_id, id, level)"""
 _V = """f1 AS (SELECT DISTINCT ON (id) * FROM atomic_facts WHERE id IS NOT NULL), s1 AS (SELECT DISTINCT ON (id) * FROM summaries WHERE id IS NOT NULL),
 v AS (SELECT s1.id AS report_id, f1.id AS atomic_fact_id, ['found','partial','missing','contradicted'][1 + (length(coalesce(point, '')) + length(coalesce(text, ''))) % 4] AS status, (length(coalesce(point, '')) % 101) / 100.0 AS confidence, coalesce(point, '') AS point,
  CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS rank FROM s1 JOIN f1 USING (section_id)),
