@@ -63,9 +63,27 @@ def stored(df: DataFrame) -> DataFrame:
     """As :func:`cut`, but as a compressed table: for what is large and read more than once."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/folio-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _stored(spark: SparkSession) -> list[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_folio_stored"):
+        sc._folio_stored = []
+    return sc._folio_stored
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that :func:`stored` has written in this session, and tell how many; results that read them can't be computed any more."""
+    paths = _stored(spark)
+    n = 0
+    while paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        n += bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True))
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package although it is not installed there."""
     sc = spark.sparkContext

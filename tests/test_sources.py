@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folio import session
 from folio.operators import html, pdf, toc, vector
 from folio.sources import books
 from folio.streaming import jobs
@@ -152,3 +153,11 @@ def test_unzip(spark, tmp_path):
         got = {r.book_id: r for r in books.unzip_epubs(f, str(tmp_path)).collect()}
     assert (tmp_path / "a" / "O" / "x").read_text() == "1" and got["a"].n_files == 2 and got["a"].error is None
     assert set(got) == {"a", "b", "c", "../d"} and all(got[k].error and got[k].folder is None for k in ("b", "c", "../d")) and os.listdir(tmp_path) == ["a"]
+
+
+def test_stored_tables_are_cleared(spark):
+    session.clear(spark)
+    one = session.stored(spark.range(3))
+    assert one.count() == 3 and session.clear(spark) == 1 and session.clear(spark) == 0
+    with pytest.raises(Exception):
+        one.count()
