@@ -56,7 +56,9 @@ def _hashes(text: str, k: int) -> np.ndarray:
 
 def runs(text: str, k: int) -> np.ndarray:
     """Distinct hashes of the runs of ``k`` consecutive characters of a text, sorted."""
-    return np.unique(_hashes(text, k))
+    h = _hashes(text, k)
+    h.sort()
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def firsts(h: np.ndarray, orders: int, slices_of: int) -> np.ndarray:
