@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from folio.config import Settings
 from folio.functions import text as ft
 from folio.operators import audit, chunk, facts, html, pdf, text, toc, vector
+from folio.plans import views
 from folio.schema import checked, span_ok
 from folio.session import table
 from folio.sources import books
@@ -445,6 +446,25 @@ def audit_history(spark, d):
     return h.withColumn("score", F.round("score", 6)).withColumn("score_delta", F.round("score_delta", 6))
 
 
+# ---- views
+
+
+def book_list(spark, d):
+    """Books as they are listed."""
+    return views.book_list(table(spark, d, "books"))
+
+
+def facts_bundle(spark, d):
+    """Facts and hints of each section as they are shown."""
+    return views.facts_bundle(_facts(spark, d), table(spark, d, "sections"), 2).withColumn("hints", F.array_join("hints", "|"))
+
+
+def job_messages(spark, d):
+    """Summaries as messages without null keys."""
+    s = table(spark, d, "summaries").where("id IS NOT NULL").dropDuplicates(["id"]).select("id", "section_id", F.when(F.col("attempt_number") > 1, F.col("attempt_number")).alias("attempt"))
+    return views.job_messages(s, "id")
+
+
 # ---- vectors, streams, relational coverage
 
 
@@ -499,7 +519,7 @@ QUERIES = {f.__name__: f for f in (
     toc_tree, toc_path_ids, toc_under_path, toc_subtrees, toc_stop_anchors, toc_page_ranges, stable_ids_epub, stable_ids_pdf, pdf_headings, pdf_pages, pdf_range_texts, pdf_contents, html_texts, html_cases,
     fact_checks, rank_names, facts_released, facts_grounding, fact_hints, facts_read, extraction_status, chunks_not_yet, fact_limits,
     summary_gates, summary_lengths, summary_attempts, latest_attempts, validations_read, summary_previous, score_as_built, score_documented, score_deltas, audit_feedback, audit_outcomes, audit_history,
-    vector_search, vector_neighbours, job_states, event_windows, order_rollup, top_orders, customers_without_orders,
+    book_list, facts_bundle, job_messages, vector_search, vector_neighbours, job_states, event_windows, order_rollup, top_orders, customers_without_orders,
 )}
 
 # ---- SQL
@@ -591,6 +611,14 @@ SELECT p.id, attempt, previous_id, sc.report_id AS previous_report, round(score,
     "audit_feedback": f"WITH {_V} SELECT report_id, atomic_fact_id, point, rank, status, '' AS evidence, CASE status WHEN 'found' THEN 'You have ' || w || '.' WHEN 'partial' THEN 'You have part of ' || w || '.' WHEN 'missing' THEN 'You left out ' || w || '.' ELSE 'You got ' || w || ' wrong.' END AS message FROM (SELECT *, ['a key point', 'an important point', 'a detail'][rank] AS w FROM v)",
     "audit_outcomes": "WITH " + _V + ", g AS (SELECT report_id, " + ", ".join(f"coalesce(string_agg(atomic_fact_id, ', ' ORDER BY atomic_fact_id) FILTER (WHERE status = '{s}'), 'none') AS {s}, count(*) FILTER (WHERE status = '{s}') AS n_{s}" for s in ("found", "partial", "missing", "contradicted")) + " FROM v GROUP BY report_id) SELECT report_id, n_found AS n_mastered, n_missing AS n_omissions, n_contradicted AS n_misconceptions, '  Found         ' || found || chr(10) || '  Partial       ' || partial || chr(10) || '  Missing       ' || missing || chr(10) || '  Contradicted  ' || contradicted AS digest FROM g",
     "audit_history": f"WITH {_V}, {_score('rank', 'confidence')}, {_DELTA}, c AS (SELECT report_id, count(*) AS n, count(*) FILTER (WHERE status = 'found') AS k FROM v GROUP BY report_id) SELECT section_id, attempt, report_id, round(score, 6) AS score, round(score_delta, 6) AS score_delta, coalesce(n, 0) AS n_facts, coalesce(k, 0) AS n_found FROM dl LEFT JOIN c USING (report_id)",
+    "book_list": "SELECT DISTINCT ON (id) id, title, author, source_format FROM books WHERE id IS NOT NULL ORDER BY id, created_at DESC NULLS LAST, title DESC",
+    "facts_bundle": """WITH s AS (SELECT id AS section_id, arg_max(extraction_status, created_at) AS extraction_status FROM sections WHERE id IS NOT NULL GROUP BY id),
+r AS (SELECT *, CASE WHEN rank IN (1, 2, 3) THEN rank ELSE 3 END AS tier FROM atomic_facts JOIN s USING (section_id) WHERE extraction_status = 'DONE'),
+g AS (SELECT section_id, count(*) AS n, '[' || string_agg('{"id":' || to_json(id) || ',"point":' || to_json(coalesce(point, '')) || ',"reason":' || to_json(coalesce(reason, '')) || ',"rank":' || tier || '}', ',' ORDER BY created_at NULLS FIRST, id) || ']' AS j FROM r GROUP BY section_id),
+q AS (SELECT section_id, questions[1] AS hint, row_number() OVER (PARTITION BY section_id ORDER BY tier, created_at NULLS LAST, id) AS k FROM r WHERE len(questions) > 0),
+h AS (SELECT section_id, string_agg(hint, '|' ORDER BY k) AS hints FROM q WHERE k <= 2 GROUP BY section_id)
+SELECT section_id, extraction_status, CAST(coalesce(n, 0) AS INT) AS n_facts, coalesce(j, '[]') AS facts, coalesce(hints, '') AS hints FROM s LEFT JOIN g USING (section_id) LEFT JOIN h USING (section_id)""",
+    "job_messages": """SELECT DISTINCT ON (id) id, '{"id":"' || id || '"' || coalesce(',"section_id":"' || section_id || '"', '') || CASE WHEN attempt_number > 1 THEN ',"attempt":' || attempt_number ELSE '' END || '}' AS message FROM summaries WHERE id IS NOT NULL""",
     "vector_search": "WITH q AS (SELECT list_transform(range(0, 64), lambda k: ((7 * k) % 13) / 13.0 - 0.5) AS q) SELECT vec_id, round(list_sum(list_transform(list_zip(embedding, q), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) ** 2)), 6) AS distance FROM embeddings, q WHERE label = 3 AND embedding IS NOT NULL ORDER BY list_sum(list_transform(list_zip(embedding, q), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) ** 2)), vec_id LIMIT 5",
     "vector_neighbours": "SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)) AS d, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) ** 2)), b.vec_id) AS INT) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) WHERE rank <= 5",
     "job_states": "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id",
