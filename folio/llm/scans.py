@@ -25,7 +25,7 @@ from folio.llm.common import clean_ids, scanned_ids, texts
 from folio.session import cut, ship
 
 #: Bits of the two word tables and of the table of word pairs: what the driver and the executors hold.
-WORD_BITS, PAIR_BITS = 20, 21
+WORD_BITS, PAIR_BITS = 20, 23
 #: Quantisation of logarithms of counts.
 STEP = 8.0
 #: How many readings of a word's marks are followed side by side, the likeliest; all of them for up to four marks.
