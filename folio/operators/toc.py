@@ -133,7 +133,11 @@ def page_ranges(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """
     at = toc.where(F.col("href").rlike(r"\A[0-9]+\z") & F.col("book_id").isNotNull() & F.col("id").isNotNull()).dropDuplicates(["id"]).select("book_id", "id", F.col("href").cast("int").alias("start_page"))
     page = at.select("book_id", "start_page").distinct().join(pages, "book_id")
-    page = page.withColumn("end_page", F.lead("start_page").over(Window.partitionBy("book_id").orderBy("start_page"))).withColumn("end_page", F.coalesce("end_page", F.col("n_pages") + 1))
+    # the next page of the same range of pages, or the first one of the next range that has any
+    page = page.withColumn("b", F.floor(F.col("start_page") / 4096))
+    following = page.groupBy("book_id", "b").agg(F.min("start_page").alias("first")).select("book_id", "b", F.lead("first").over(Window.partitionBy("book_id").orderBy("b")).alias("following"))
+    inside = F.lead("start_page").over(Window.partitionBy("book_id", "b").orderBy("start_page"))
+    page = page.withColumn("inside", inside).join(following, ["book_id", "b"]).withColumn("end_page", F.coalesce("inside", "following", F.col("n_pages") + 1))
     return at.join(page.select("book_id", "start_page", "end_page"), ["book_id", "start_page"]).select("book_id", "id", "start_page", "end_page")
 
 

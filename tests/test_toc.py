@@ -73,3 +73,11 @@ def test_nulls_and_repeats(spark):
     t = spark.createDataFrame([("x", "b", None, 1, 1, None, None), ("x", "b", None, 1, 1, None, None), (None, "b", "t", 1, 2, None, None), ("y", None, "t", 1, 2, None, None), ("z", "b", "t", None, 3, None, None)], "id string, book_id string, title string, level int, toc_order int, href string, section_id string")
     got = toc.tree(t).collect()
     assert len(got) == 1 and got[0].breadcrumb == ""
+
+
+def test_page_ranges_across_ranges_of_pages(spark):
+    pages = [1, 2, 4095, 4096, 4097, 9000, 20_000, 20_001]
+    t = spark.createDataFrame([("b", f"{p}-{k}", str(p)) for p in pages for k in range(2)] + [("b", "x", "a.xhtml"), (None, "y", "3"), ("c", "z", "7")], "book_id string, id string, href string")
+    n = spark.createDataFrame([("b", 20_500), ("c", 9)], "book_id string, n_pages int")
+    got = {(r.book_id, r.start_page): r.end_page for r in toc.page_ranges(t, n).collect()}
+    assert got == {**{("b", p): q for p, q in zip(pages, pages[1:] + [20_501])}, ("c", 7): 10}
