@@ -109,7 +109,7 @@ def read_validations(replies: DataFrame) -> DataFrame:
     no number, are left out; a missing evidence is empty, a missing confidence 0.
     """
     keys = ("result", "results", "facts", "data", "items")
-    r = replies.select("report_id", F.explode(F.try_variant_get(lenient_json(F.col("content"), keys=keys), "$", "array<variant>")).alias("x"))
+    r = lenient_json(replies, "v", keys=keys).select("report_id", F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("x"))
     r = r.where(F.schema_of_variant("x").startswith("OBJECT"))
     get = lambda k, t: F.try_variant_get("x", f"$.{k}", t)
     out = r.select("report_id", get("fact_id", "string").alias("atomic_fact_id"), F.lower(get("status", "string")).alias("status"), F.coalesce(get("evidence", "string"), F.lit("")).alias("evidence"), F.when(get("confidence", "variant").isNull(), 0.0).otherwise(get("confidence", "double")).alias("confidence"), get("improved", "boolean").alias("improved"))

@@ -44,26 +44,28 @@ def prompts(chunks: DataFrame, tokens: Column) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), "section_id", "start_char", F.lit(SYSTEM).alias("system"), user.alias("user"))
 
 
-def lenient_json(content: Column, *lone: str, keys: tuple[str, ...] = ("facts", "result", "data", "items", "atomic_facts")) -> Column:
-    """A reply as variant array: code fences cut, a lone object with one of the keys ``lone`` wrapped, an object's first list taken.
+def lenient_json(replies: DataFrame, out: str, *lone: str, keys: tuple[str, ...] = ("facts", "result", "data", "items", "atomic_facts"), content: str = "content") -> DataFrame:
+    """``replies`` with the column ``out``: each reply as variant array; code fences cut, a lone object with one of the keys ``lone`` wrapped, an object's first list taken.
 
     What can be read but holds no list gives an empty one, what can't be read null. Python's names for the constants are
     read as JSON's.
     """
     s = F.regexp_replace(F.regexp_replace(F.trim(content), r"(?is)\A\s*```(?:json)?\s*", ""), r"(?s)\s*```\s*\z", "")
-    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?<=[:\[,]\s{0,3})None(?=\s*[,\]}])", "null"), r"(?<=[:\[,]\s{0,3})True(?=\s*[,\]}])", "true"), r"(?<=[:\[,]\s{0,3})False(?=\s*[,\]}])", "false")
-    v = F.try_parse_json(s)
-    is_list = F.schema_of_variant(v).startswith("ARRAY")
-    out = F.when(is_list, v)
+    for name, constant in (("None", "null"), ("True", "true"), ("False", "false")):
+        s = F.when(s.contains(name), F.regexp_replace(s, rf"(?<=[:\[,]\s{{0,3}}){name}(?=\s*[,\]}}])", constant)).otherwise(s)
+    # a column of its own: the branches below would parse the text once each
+    r = replies.withColumn("_text", s).withColumn("_json", F.try_parse_json("_text"))
+    v = F.col("_json")
+    x = F.when(F.schema_of_variant(v).startswith("ARRAY"), v)
     if lone:
         has = F.lit(False)
         for k in lone:
             has = has | F.try_variant_get(v, f"$.{k}", "variant").isNotNull()
-        out = out.when(has, F.try_parse_json(F.concat(F.lit("["), F.to_json(v), F.lit("]"))))
+        x = x.when(has, F.try_parse_json(F.concat(F.lit("["), F.to_json(v), F.lit("]"))))
     for k in keys:
-        x = F.try_variant_get(v, f"$.{k}", "variant")
-        out = out.when(F.schema_of_variant(x).startswith("ARRAY"), x)
-    return out.when(v.isNotNull(), F.parse_json(F.lit("[]")))
+        y = F.try_variant_get(v, f"$.{k}", "variant")
+        x = x.when(F.schema_of_variant(y).startswith("ARRAY"), y)
+    return r.withColumn(out, x.when(v.isNotNull(), F.parse_json(F.lit("[]")))).drop("_text", "_json")
 
 
 def read_facts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +75,7 @@ def read_facts(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
     chunk's start. Items that are no objects, come from the overlap or have an empty span are left out. ``failed`` are
     the chunks whose reply can't be read. An empty list gives no facts, and so does a reply that is JSON without a list.
     """
-    r = replies.withColumn("v", lenient_json(F.col("content"), "point", "rank"))
+    r = lenient_json(replies, "v", "point", "rank")
     failed = r.where("v IS NULL").select("chunk_id", "section_id")
     items = r.where("v IS NOT NULL").select("chunk_id", "section_id", "start_char", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("nth", "x"))
     items = items.where(F.schema_of_variant("x").startswith("OBJECT"))
@@ -163,7 +165,8 @@ def hint_prompts(facts: DataFrame, count: int = Settings.max_hints) -> DataFrame
 
 def read_hints(replies: DataFrame, most: int = Settings.max_hints) -> DataFrame:
     """(section_id, hint_no, hint) of replies (section_id, content) that are lists of texts; other items are left out, and at most ``most`` kept."""
-    r = replies.select("section_id", F.posexplode(F.try_variant_get(lenient_json(F.col("content"), keys=("questions", "hints", "result", "data", "items")), "$", "array<variant>")).alias("nth", "x"))
+    r = lenient_json(replies, "v", keys=("questions", "hints", "result", "data", "items"))
+    r = r.select("section_id", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("nth", "x"))
     r = r.where(F.schema_of_variant("x") == "STRING").select("section_id", "nth", F.trim(F.try_variant_get("x", "$", "string")).alias("hint")).where("hint <> ''")
     w = Window.partitionBy("section_id").orderBy("nth")
     return r.withColumn("hint_no", F.row_number().over(w)).where(F.col("hint_no") <= most).select("section_id", "hint_no", "hint")
