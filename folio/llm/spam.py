@@ -28,6 +28,8 @@ _HIDDEN = re.compile(HIDDEN)
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][._\-]{1,3}){3,}[^\W_](?![^\W_])")
 _MARK = "\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0951-\u0963\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"  # combining marks belong to words
 _TOKEN = re.compile(rf"[^\W_](?:[^\W_]|[{_MARK}]|['’](?=[^\W_]))*")
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)*")
+_ASCII_WORDS = bytes(x for x in range(128) if chr(x).isalnum() or x != 10 and chr(x).isspace() or x == 95)  # what is no mark
 _WIDE = re.compile(r"[฀-๿぀-ヿ㐀-鿿가-힯]")
 _URL = re.compile(r"(?:[a-z]+://|www\.)[^\s<>()\[\]|,]+|(?<![\w.@])(?:[\w-]+\.)+[a-z]{3,}(?:/[^\s<>()\[\]|,]*|(?![\w.]))(?<!\.txt)(?<!\.html)", re.I)
 _MARKDOWN = re.compile(r"!?\[[^\]\n]*\]\([^)\n]*\)|<a\s[^>]*>[^<]*</a>", re.I)
@@ -53,8 +55,10 @@ _CLASS_OF = {ch: k for k, chars in enumerate(MARKS) for ch in chars}
 
 def tokens(line: str) -> list[str]:
     """Words of a line, lower-cased; pairs of characters in scripts that set no spaces."""
+    if line.isascii():
+        return _ASCII_TOKEN.findall(line.lower())
     found = _TOKEN.findall(line.lower())
-    if line.isascii() or not _WIDE.search(line):
+    if not _WIDE.search(line):
         return found
     out: list[str] = []
     for t in found:
@@ -110,19 +114,19 @@ def _line_kind(line: str, toks: list[str]) -> tuple[str, str]:
     if len(pairs) == 1 and not ended and _TAG.fullmatch(s):
         return "tag", pairs[0].lower()
     bars = [x for x in _BAR.split(s) if x and x.strip()] if _BARS.search(s) else []
-    inner = len(_INNER.findall(s))
-    if len(bars) >= 4 and sum(map(len, bars)) / len(bars) <= 90 and (inner <= len(bars) / 4 or spaced):
+    inner = lambda: len(_INNER.findall(s))
+    if len(bars) >= 4 and sum(map(len, bars)) / len(bars) <= 90 and (spaced or inner() <= len(bars) / 4):
         return "captions", ""
     n = len(toks)
     rep = 1 - len(set(toks)) / n if n else 0.0
     items = [x.lower() for x in _LIST.split(s.rstrip(END)) if x] if rep > 0.3 else []
-    if len(items) >= 5 and len(set(items)) <= 0.7 * len(items) and inner <= len(items) / 5 and sum(len(x.split()) for x in items) <= 4 * len(items):
+    if len(items) >= 5 and len(set(items)) <= 0.7 * len(items) and sum(len(x.split()) for x in items) <= 4 * len(items) and inner() <= len(items) / 5:
         return "keywords", ""
-    if not ended and n >= 8 and rep >= 0.5 and inner <= n / 30 and not _THAI.search(s):
+    if not ended and n >= 8 and rep >= 0.5 and inner() <= n / 30 and not _THAI.search(s):
         return "keywords", ""
     if _stuffed(toks):
         return "stuffed", ""
-    if spaced and not inner:
+    if spaced and not inner():
         return "keywords", ""
     if ended and n < 60:
         return "sentence", ""
@@ -166,12 +170,13 @@ def page(text: str) -> tuple[Counter, float]:
     words: Counter = Counter()
     for x in toks:
         words.update(x)
-    numbers = [t for t in words if t.isdigit()]
     if words:
         # marks, line ends and numbers stand on the curve too: lists are made of them
-        words["0"] = sum(map(words.pop, numbers))
-        words.update(_OTHER.findall(text))
-    return +words, bad / total if total else 0.0
+        numbers = [t for t in words if t.isdigit()]
+        if numbers:
+            words["0"] = sum(map(words.pop, numbers))
+        words.update(text.encode().translate(None, _ASCII_WORDS).decode() if text.isascii() else _OTHER.findall(text))
+    return words, bad / total if total else 0.0
 
 
 def marks(words: Counter) -> list[float]:
