@@ -52,7 +52,7 @@ def lenient_json(replies: DataFrame, out: str, *lone: str, keys: tuple[str, ...]
     """
     s = F.regexp_replace(F.regexp_replace(F.trim(content), r"(?is)\A\s*```(?:json)?\s*", ""), r"(?s)\s*```\s*\z", "")
     for name, constant in (("None", "null"), ("True", "true"), ("False", "false")):
-        s = F.when(s.contains(name), F.regexp_replace(s, rf"(?<=[:\[,]\s{{0,3}}){name}(?=\s*[,\]}}])", constant)).otherwise(s)
+        s = F.regexp_replace(s, rf"(?<=[:\[,]\s{{0,3}}){name}(?=\s*[,\]}}])", constant)
     # a column of its own: the branches below would parse the text once each
     r = replies.withColumn("_text", s).withColumn("_json", F.try_parse_json("_text"))
     v = F.col("_json")
