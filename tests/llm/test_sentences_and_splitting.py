@@ -1,8 +1,10 @@
+import itertools
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,57 @@ def test_numerals(spark, data):
     # a Thai space beside a numeral parts no sentences, an Arabic number may end one
     assert len(_cut(model, "นักเขียนปกป้องกฎของสมาคมหนัก 58.70 กิโลกรัม พ่อค้าบรรยายตัวอย่างน้ำ")) == 2
     assert _cut(model, "Am 14. Mai kopiert der Weber die Karte. Der Turm steht.") == ["Am 14. Mai kopiert der Weber die Karte.", "Der Turm steht."]
+
+
+SYLLABLES = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
+SHORT, LAST = (["".join(x) for x in itertools.product(p, q, "bt", "xz")] for p, q in (("BDGK", "dkg"), ("ZV", "oua")))
+
+
+@pytest.fixture
+def crowded(spark, monkeypatch):
+    """Texts of 4,000 words at the ends of sentences, six times each, of rarer abbreviations before names, and of as rare words at ends."""
+    monkeypatch.setattr(sentences, "MOST_LEFTS", 3000, raising=False)  # the limit there once was, of 200,000; to reach that takes a large table
+    rng = random.Random(5)
+    words = 6 * ["".join(x) for x in itertools.islice(itertools.product(SYLLABLES, repeat=3), 4000)]
+    rng.shuffle(words)
+    names = ["".join(rng.choice(SYLLABLES) for _ in range(3)).capitalize() for _ in range(60)]
+    said = [f"{rng.choice(('We', 'Nobody', 'The clerk', 'She'))} saw the gate near {rng.choice(names)} and {w}." for w in words]
+    rows = [(f"p{k}", "\n\n".join(" ".join(said[j : j + 6]) for j in range(k, k + 60, 6))) for k in range(0, len(said), 60)]
+    rows += [(f"{a}{k}", f"The old keeper of the northern gate near the mill and {a}. {rng.choice(names)} saw the river near the road and the clerk.") for a in SHORT for k in range(5)]
+    rows += [(f"{a}{k}", f"We saw the gate. The clerk saw the {a.lower()}.") for a in LAST for k in range(5)]
+    return spark.createDataFrame(rows, "id string, raw_text string")
+
+
+def test_rare_tokens_among_many_have_chances_of_their_own(crowded):
+    # p2: of tokens beyond the most frequent ones all counts were once left out, so that those of one shape were all the same
+    m = sentences.fit(crowded)
+
+    def odds(word):
+        b, c = m.scores("L." + word.lower(), ("L", sentences.CAPITAL))
+        return b / c
+
+    assert max(map(odds, SHORT)) * 10 < min(map(odds, LAST))
+    assert all(len(m.spans(r.raw_text)) == 1 + (r.id[0] in "ZV") for r in crowded.where("not id like 'p%'").collect())
+
+
+def test_tokens_seen_alike_are_fitted_as_each_would_be(spark, data):
+    s = table(spark, data, "sections")
+    m = sentences.fit(s)
+    batch = sentences.texts(s).select("raw_text").toArrow().to_batches()
+    counts = pa.Table.from_batches(list(sentences.count_gaps(iter(batch), m.words))).group_by(["kind", "s", "q", "l", "r"]).aggregate([("n", "sum")])
+    each = sentences.Model(np.column_stack([c.to_numpy() for c in counts.columns]), m.words)
+    assert len(m.lefts) == len(each.lefts) > len(m.e) and len(each.e) == len(each.lefts)
+    assert (m.lefts == each.lefts).all() and np.allclose(m.e[m.places], each.e[each.places], atol=1e-5)
+    texts = sentences.texts(s).dropDuplicates(["section_id"]).collect()
+    assert all(m.spans(r.raw_text) == each.spans(r.raw_text) for r in texts)
+
+
+def test_counts_of_words_are_whole(spark):
+    # counts beyond 32 bits once ended there
+    n = 3 * 2**31
+    rows = [(0, 7, n, n, 0), (-1, 7, 0, 0, n), (0, 9, n // 6, n, 0)]
+    many = spark.createDataFrame(rows, "g byte, b int, start long, inside long, bare long")
+    got = sentences.words_of(many)
+    cols = (np.array(c) for c in zip(*((b, g, x, y, z) for g, b, x, y, z in rows)))
+    want = sentences.Words.of(*cols)
+    assert (got.steps == want.steps).all() and (got.bare == want.bare).all() and got.bare[7] == 33
