@@ -216,3 +216,14 @@ def test_counts_of_words_are_whole(spark):
     cols = (np.array(c) for c in zip(*((b, g, x, y, z) for g, b, x, y, z in rows)))
     want = sentences.Words.of(*cols)
     assert (got.steps == want.steps).all() and (got.bare == want.bare).all() and got.bare[7] == 33
+
+
+def test_pieces_are_cut_by_the_chances_of_all_tokens(crowded, monkeypatch):
+    # p3 fits the model itself; of tokens beyond the most frequent ones all counts were once left out there, too
+    made = []
+    monkeypatch.setattr(splitting, "fit", lambda s: made.append(sentences.fit(s)) or made[-1])
+    toc = crowded.where("not id like 'p%'").select(F.col("id").alias("section_id"), F.lit("a.xhtml").alias("href"))
+    got = splitting.oversized(crowded, toc, 80, 10).collect()
+    assert len(got) == 5 * len(SHORT) and {r.boundary for r in got} == {"word"}
+    odds = [[b / c for b, c in (made[0].scores("L." + w.lower(), ("L", sentences.CAPITAL)) for w in some)] for some in (SHORT, LAST)]
+    assert max(odds[0]) * 10 < min(odds[1])
