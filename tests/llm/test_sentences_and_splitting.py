@@ -227,3 +227,34 @@ def test_pieces_are_cut_by_the_chances_of_all_tokens(crowded, monkeypatch):
     assert len(got) == 5 * len(SHORT) and {r.boundary for r in got} == {"word"}
     odds = [[b / c for b, c in (made[0].scores("L." + w.lower(), ("L", sentences.CAPITAL)) for w in some)] for some in (SHORT, LAST)]
     assert max(odds[0]) * 10 < min(odds[1])
+
+
+#: Words that openers once shared a bucket of 20 bits with, and abbreviations that so did with words without a full stop.
+SHARED = {"She": "Bagipeka Bidogoto Mofipefe Morusemi", "Nobody": "Bekerafu Legafobi Murolaga Reluredi", "Then": "Dofurenu Feseraku Fogenato Folusapa", "They": "Doralase Dotilese Gumedeta Kenidulo"}
+SHARED_BARE = {"uyr": "of", "tvhj": "gate", "wlny": "clerk", "axiq": "to"}
+
+
+def test_pieces_are_cut_by_each_word_alone(spark):
+    # p3: words in one bucket were once told apart no further, so that a name was taken for what opens sentences, or an abbreviation for a word
+    rng = random.Random(6)
+    names = " ".join(SHARED.values()).split() + ["".join(rng.choice(SYLLABLES) for _ in range(3)).capitalize() for _ in range(80)]
+    rows = [(f"p{k}", "\n\n".join(f"{rng.choice(list(SHARED))} saw the gate near {rng.choice(names)} and went to the clerk of {rng.choice(names)}." for _ in range(6))) for k in range(80)]
+    head = "The old keeper of the northern gate near the mill and the clerk of"
+    rows += [(f"w{k}", f"{head} no. {w} saw the river and the road.") for k, w in enumerate(names)]
+    rows += [(f"s{k}", f"{head} no. {w} saw the river and the road.") for k, w in enumerate(25 * list(SHARED))]
+    rows += [(f"w{a}{k}", f"{head} {a}. {rng.choice(names)} saw the river and the road.") for a in SHARED_BARE for k in range(5)]
+    s = spark.createDataFrame(rows, "id string, raw_text string")
+    toc = s.where("not id like 'p%'").select(F.col("id").alias("section_id"), F.lit("a.xhtml").alias("href"))
+    got = splitting.oversized(s, toc, 80, 10).collect()
+    assert len(got) == len(names) + 100 + 20
+    assert [r for r in got if r.boundary != {"w": "word", "s": "sentence"}[r.section_id[0]]] == []
+    words = sentences.word_steps(sentences.texts(s))
+    assert all(sentences._bare("L." + a, words) == 0 < sentences._bare("L." + b, words) for a, b in SHARED_BARE.items())
+
+
+def test_counts_of_bare_words_are_summed_in_parts():
+    texts = [" ".join(a + b + c + d for b in SYLLABLES for c in SYLLABLES for d in SYLLABLES[:6]) + " gate " for a in SYLLABLES]
+    parts = list(sentences.count_words(iter([pa.RecordBatch.from_arrays([pa.array([t])], names=["t"]) for t in texts])))
+    rows = [(g, b, n) for p in parts for g, b, n in zip(*(p.column(k).to_pylist() for k in (0, 1, 4)))]
+    assert len(parts) > 2 and sum(n for _, _, n in rows) == 60 * (60 * 60 * 6 + 1) and len({b for _, b, _ in rows}) == 60 * 60 * 60 * 6 + 1
+    assert sum(n for _, b, n in rows if b == sentences.bare_bucket("gate")) == 60
